@@ -10,8 +10,9 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .licenses import OP5_SQL, op5_license_sentences
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .sharding import op3_shard_jump_hash
+from .simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_shard_jump_hash, op5_license_sentences, op10_chat_format)
+    f.__name__: f for f in (op1_quality_rules, op3_shard_jump_hash, op5_license_sentences, op9_simhash, op10_chat_format)
 }
 SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_license_sentences": OP5_SQL, "op10_chat_format": OP10_SQL}

@@ -15,6 +15,7 @@ import numpy as np
 
 #: Entries per chunk, and entries that are held in memory; beyond, chunks go to files.
 CHUNK, IN_MEMORY = 1 << 21, 1 << 23
+_COLUMN = np.arange(256, dtype=np.uint8)
 _FIELDS = ("symbol", "entry", "common")
 
 
@@ -58,8 +59,9 @@ class Collection:
         flat = b"".join(s.rjust(self.width, b"\0") for s in strings) + b"\0" * 8
         self.flat = np.frombuffer(flat, np.uint8)
         used = np.unique(np.frombuffer(b"".join(strings), np.uint8)) if strings else np.zeros(0, np.uint8)
-        if len(used) > 255:
+        if len(used) > 254:
             raise ValueError("texts in UTF-8 never use all byte values")
+        self.codes = len(used) + 1
         self.code = np.zeros(256, np.uint8)
         self.code[used] = np.arange(1, len(used) + 1)
         self.words = np.ndarray((max(0, len(flat) - 7),), "<u8", flat, 0, (1,))
@@ -92,28 +94,36 @@ class Collection:
         return ok
 
 
-def _ranks(state: Chunks, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One read of the transform: for the entries at ``places`` (ascending) their symbol and how often it stands before, and all counts."""
-    seen = np.zeros(256, np.int64)
+def _ranks(state: Chunks, places: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One read of the transform: for the entries at ``places`` (ascending) their symbol and how often it stands before, and all counts.
+
+    A chunk is counted in blocks of 256 symbols; what lies before a place in its block is compared directly.
+    """
+    seen = np.zeros(codes + 1, np.int64)
     symbol, rank = np.empty(len(places), np.uint8), np.empty(len(places), np.int64)
     start = done = 0
     for i in range(len(state)):
         b = state.read(i)[0]
         end = np.searchsorted(places, start + len(b))
         here = places[done:end] - start
-        count = np.bincount(b, minlength=256)
-        if len(here):
-            order = np.argsort(b, kind="stable")
-            new = np.zeros(len(b), bool)
-            new[here] = True
-            at = np.flatnonzero(new[order])
-            which = np.searchsorted(here, order[at])
-            s = b[order[at]]
-            symbol[done + which] = s
-            rank[done + which] = at - (np.cumsum(count) - count)[s] + seen[s]
-        seen += count
+        blocks = -(-len(b) // 256)
+        padded = np.full(blocks * 256, codes, np.uint8)
+        padded[: len(b)] = b
+        cell = np.repeat(np.arange(blocks, dtype=np.int64) * (codes + 1), 256)
+        cell += padded
+        counts = np.bincount(cell, minlength=blocks * (codes + 1)).reshape(blocks, codes + 1)
+        before = np.cumsum(counts, axis=0)
+        square = padded.reshape(blocks, 256)
+        for k in range(0, len(here), 4096):
+            h = here[k : k + 4096]
+            s, block, at = b[h], h >> 8, (h & 255).astype(np.uint8)
+            inside = np.count_nonzero((square[block] == s[:, None]) & (_COLUMN < at[:, None]), axis=1)
+            symbol[done + k : done + k + len(h)] = s
+            rank[done + k : done + k + len(h)] = before[block, s] - counts[block, s] + inside + seen[s]
+        if blocks:
+            seen += before[-1]
         start, done = start + len(b), end
-    return symbol, rank, seen
+    return symbol, rank, seen[:codes]
 
 
 def _insert(state: Chunks, coll: Collection, before: np.ndarray, symbol: np.ndarray, entry: np.ndarray, spill: bool, prefixes: bool) -> Chunks:
@@ -162,7 +172,7 @@ def build(coll: Collection) -> Chunks:
     state.append(coll.symbols(strings, 0), strings.astype(np.uint64) << np.uint64(16), np.zeros(n, np.uint8))
     places, size = strings.copy(), n
     for suffix in range(1, coll.width + 1):
-        symbol, rank, counts = _ranks(state, places)
+        symbol, rank, counts = _ranks(state, places, coll.codes)
         alive = symbol > 0
         strings, symbol, rank = strings[alive], symbol[alive], rank[alive]
         if not len(strings):

@@ -109,11 +109,10 @@ def _ranks(state: Chunks, places: np.ndarray, codes: int) -> tuple[np.ndarray, n
         blocks = -(-len(b) // 256)
         padded = np.full(blocks * 256, codes, np.uint8)
         padded[: len(b)] = b
-        cell = np.repeat(np.arange(blocks, dtype=np.int64) * (codes + 1), 256)
-        cell += padded
-        counts = np.bincount(cell, minlength=blocks * (codes + 1)).reshape(blocks, codes + 1)
-        before = np.cumsum(counts, axis=0)
         square = padded.reshape(blocks, 256)
+        cell = np.add(square, np.arange(0, blocks * (codes + 1), codes + 1)[:, None], dtype=np.int64)
+        counts = np.bincount(cell.reshape(-1), minlength=blocks * (codes + 1)).reshape(blocks, codes + 1)
+        before = np.cumsum(counts, axis=0)
         for k in range(0, len(here), 4096):
             h = here[k : k + 4096]
             s, block, at = b[h], h >> 8, (h & 255).astype(np.uint8)
@@ -143,10 +142,10 @@ def _insert(state: Chunks, coll: Collection, before: np.ndarray, symbol: np.ndar
         nb[at], ne[at] = symbol[done:end], entry[done:end]
         if prefixes and len(old):
             nc[old] = c
-            changed = np.unique(np.concatenate([at, at + 1]))
-            changed = changed[changed < len(old)]
-            if last_new and (not len(changed) or changed[0] != 0):
-                changed = np.concatenate([np.zeros(1, np.int64), changed])
+            touched = np.zeros(len(old) + 1, bool)
+            touched[at] = touched[at + 1] = True
+            touched[0] |= last_new
+            changed = np.flatnonzero(touched[:-1])
             left = ne[changed - 1]
             first = len(changed) and changed[0] == 0
             if first:

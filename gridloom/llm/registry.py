@@ -13,8 +13,9 @@ from .packing import op2_pack_best_fit
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .sharding import op3_shard_jump_hash
 from .simhash import op9_simhash
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_pack_best_fit, op3_shard_jump_hash, op5_license_sentences, op8_decontaminate, op9_simhash, op10_chat_format)
+    f.__name__: f for f in (op1_quality_rules, op2_pack_best_fit, op3_shard_jump_hash, op4_suffix_dedup, op5_license_sentences, op8_decontaminate, op9_simhash, op10_chat_format)
 }
 SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_license_sentences": OP5_SQL, "op10_chat_format": OP10_SQL}

@@ -20,7 +20,7 @@ PREFIXES = (4, 5, 6, 7)
 TERMS, MIN_ROWS = 512, 4
 #: Order of the chain. ``severe`` and ``mild`` split the toxic rows by how dense their telling words are.
 CATEGORIES = ("severe", "mild", "toxic")
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -37,4 +37,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 4
         state = (row.n, row.h)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    rows = now.unionByName(now.select(F.col("v").alias("u"), "v"))
+    return rows.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")

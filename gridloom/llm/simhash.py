@@ -62,7 +62,7 @@ def position_keys(radius: int) -> list[tuple[int, ...]]:
 
 
 def postings(fps: DataFrame, radius: int) -> DataFrame:
-    """The inverted index: a posting (key, fp, doc_id) for each set of byte positions and the bytes found there.
+    """The inverted index: a posting (key, fp) for each set of byte positions and the bytes found there.
 
     A posting list of single bytes holds a 256th of all rows; lists of the guaranteed number of bytes together are
     the intersections in which pairs with enough shared bytes, and no others, must meet.
@@ -80,9 +80,9 @@ def postings(fps: DataFrame, radius: int) -> DataFrame:
                     z = ((part & m) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
                     z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
                     keys.append(z ^ (z >> np.uint64(32)))
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(part.view(np.int64), len(masks)), "doc_id": np.tile(b["doc_id"].to_numpy(np.int64)[at : at + 4096], len(masks))})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(part.view(np.int64), len(masks))})
 
-    return fps.mapInPandas(index, "key long, fp long, doc_id long")
+    return fps.select("fp").mapInPandas(index, "key long, fp long")
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -131,24 +131,24 @@ def list_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): doc_ids of different fingerprints at most ``radius`` bits apart, enough of them to connect whatever is connected."""
+    """(a, b): different fingerprints at most ``radius`` bits apart, enough of them to connect whatever is connected."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64), b["doc_id"].to_numpy(np.int64)) for b in batches]
+        parts = [(b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)) for b in batches]
         if not parts:
             return
-        key, fp, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.argsort(key, kind="stable")
-        key, fp, doc = key[order], fp[order], doc[order]
+        key, fp = key[order], fp[order]
         for a, b in list_links(key, fp, radius):
             if len(a):
-                found = np.unique(np.sort(np.stack([doc[a], doc[b]], axis=1), axis=1), axis=0)
+                found = np.unique(np.sort(np.stack([fp[a], fp[b]], axis=1).view(np.int64), axis=1), axis=0)
                 yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     rows = postings(fps, radius)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A task holds its postings (24 bytes each): their number is known, so the number of tasks follows it.
+    # A task holds its postings (16 bytes each): their number is known, so the number of tasks follows it.
     tasks = max(n, -(-fps.count() * len(position_keys(radius)) // 1_000_000))
     return rows.repartition(tasks, "key").mapInPandas(pairs, "a long, b long").distinct()
 
@@ -157,16 +157,18 @@ def simhash_components(df: DataFrame, scratch: Scratch | None = None, shingle: i
     """A row per row of ``df`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints at most ``radius`` bits apart are linked; component_id is the smallest doc_id that can be reached.
-    Copies count once: links are sought between distinct fingerprints, each under its smallest doc_id. A null or empty
+    Copies count once: links are sought between distinct fingerprints. A null or empty
     text has fingerprint zero and links like any other; a row without doc_id has no component (null) and links
-    nothing; repeated rows stay; extra columns are ignored; an empty table gives no rows.
+    nothing; repeated rows stay, and rows that share a doc_id link by their own texts; extra columns are ignored; an empty table gives no rows.
     """
     scratch = scratch or Scratch(df.sparkSession, "simhash")
     docs = scratch.table(fingerprints(df), "fingerprints")
     reps = scratch.table(docs.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     found = scratch.table(links(reps, radius).select("a", "b"), "links")
     comp = connected_components(found, scratch)
-    named = reps.join(comp, reps.doc_id == comp.node, "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
+    grouped = reps.join(comp, reps.fp == comp.node, "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.select("fp", "group").join(least, "group").select("fp", "component_id")
     named = scratch.table(named, "components")
     out = docs.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

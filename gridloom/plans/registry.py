@@ -1,10 +1,4 @@
-"""Registered queries and the SQL that must give the same rows."""
+"""All registered queries and the SQL that must give the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import colors, grids, images, records  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -55,8 +56,10 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Let Spark's context cleaner delete shuffle files of finished steps now instead of at the next full GC."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # handles that Python lets go reach the JVM a moment later
+            gc.collect()
+            time.sleep(0.5)
+            self.spark._jvm.System.gc()
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -1,4 +1,4 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from . import colors, grids, images, records  # noqa: F401
+from . import colors, grids, images, records, search  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

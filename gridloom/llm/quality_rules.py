@@ -105,7 +105,7 @@ def base_failed(f: Features) -> bool:
 #: All compare whole numbers, so that SQL gives the same verdicts.
 RULES = (
     Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
-    Rule("duplicate_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("duplicate_lines", lambda f: 2 * f.n_dup_lines > f.n_lines),
     Rule("word_length", lambda f: not 2 * f.n_words <= f.word_chars <= 14 * f.n_words),
     Rule("shouting", lambda f: 10 * f.n_upper_words > 3 * f.n_words),
     Rule("few_letters", lambda f: 10 * f.n_letter_words < 7 * f.n_words),
@@ -205,7 +205,7 @@ f AS (
   FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
          OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_upper > 3 * n_words OR 10 * n_letter < 7 * n_words) AS kept
 FROM b
 """

@@ -193,3 +193,41 @@ def similar(p: Rgb, q: Rgb, level: int, rare: bool = False) -> Column:
     for test, factor in ((dark | light | muted, 1.15), ((cp > 78) | (cq > 78), 0.7), (F.abs(cp - cq) > 56, 0.58), ((F.abs(lp - lq) > 86) & ~dark, 0.55)):
         limit = limit * F.when(test, F.lit(factor)).otherwise(F.lit(1.0))
     return F.lit(base > 0) & (redmean(p, q) <= limit)
+
+
+def hsl_to_rgb(hue: Column, sat: Column, light: Column) -> Rgb:
+    """Channels in 0..255 of hue in degrees, saturation and lightness in 0..1."""
+    span = sat * F.least(light, 1 - light)
+
+    def channel(n: int) -> Column:
+        k = F.pmod(n + hue / 30, F.lit(12.0))
+        return clamp_byte(255 * (light - span * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0)))))
+
+    return channel(0), channel(8), channel(4)
+
+
+def adjust(df: DataFrame, temperature: float = 0, contrast: float = 0, brightness: float = 0, hue: float = 0, saturation: float = 0) -> DataFrame:
+    """Replaces r, g, b: warmed, then contrast and brightness, then hue and saturation, rounded to bytes after each step."""
+    level = contrast * 2.55
+    factor = 259 * (level + 255) / (255 * (259 - level))
+    warm = {c: clamp_byte(F.col(c) + k * temperature) for c, k in (("r", 1.35), ("g", 0.28), ("b", -1.35))}
+    steep = {c: clamp_byte(factor * (F.col(c) - 128) + 128 + brightness * 2.55) for c in "rgb"}
+    rows = df.withColumns(warm).withColumns(steep)
+    rows = rows.withColumns(dict(zip(("_h", "_s", "_l"), rgb_to_hsl((F.col("r"), F.col("g"), F.col("b"))), strict=True)))
+    turned = hsl_to_rgb(F.pmod(F.col("_h") + hue, F.lit(360.0)), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_s") * (1 + saturation / 100))), F.col("_l"))
+    return rows.withColumns(dict(zip("rgb", turned, strict=True))).drop("_h", "_s", "_l")
+
+
+def close_for_merge(p: Rgb, q: Rgb, level: int) -> Column:
+    """Whether an editor may merge two colours at a level 1..4; greys, vivid and other colours have limits of their own."""
+    pick = lambda *v: float(v[level - 1])
+    cp, cq = chroma(p), chroma(q)
+    grey, vivid = (cp < 34) & (cq < 34), (cp > 72) | (cq > 72)
+    gap = F.abs(luma(p) - luma(q))
+    turn = F.abs(rgb_to_hsl(p)[0] - rgb_to_hsl(q)[0])
+    turn = F.least(turn, 360 - turn)
+    d = redmean(p, q)
+    limit = F.when(vivid, pick(34, 50, 66, 82)).otherwise(pick(44, 64, 84, 104))
+    greys = (d <= pick(48, 68, 88, 108)) & (gap <= pick(30, 44, 60, 76))
+    near = (~vivid | (turn <= pick(12, 18, 28, 38))) & (F.abs(cp - cq) <= pick(30, 44, 60, 76)) & (gap <= pick(34, 50, 68, 84))
+    return F.when(grey, greys).otherwise(near & ((d <= limit) | ((turn <= pick(14, 24, 36, 48)) & (d <= limit * 1.18))))

@@ -9,6 +9,7 @@ from collections import deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .diagnostics import label_regions
 
@@ -218,3 +219,83 @@ def skeletons(cells: DataFrame) -> DataFrame:
         return pd.DataFrame({"grid_id": pdf["grid_id"].iat[0], "x": [p[0] for p in found], "y": [p[1] for p in found]}).astype({"x": "int32", "y": "int32"})
 
     return cells.select("grid_id", "x", "y", "color").groupBy("grid_id").applyInPandas(run, "grid_id long, x int, y int")
+
+
+def clip_to_box(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
+    """A polygon cut to a rectangle (left, top, right, bottom), side by side."""
+    for axis, limit, sign in ((0, box[0], 1), (1, box[1], 1), (0, box[2], -1), (1, box[3], -1)):
+        out = []
+        for a, b in zip(points, points[1:] + points[:1], strict=True):
+            in_a, in_b = sign * (a[axis] - limit) >= 0, sign * (b[axis] - limit) >= 0
+            if in_a:
+                out.append(a)
+            if in_a != in_b:
+                t = (limit - a[axis]) / (b[axis] - a[axis])
+                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+        points = out
+        if not points:
+            break
+    return points
+
+
+def area(points: list[tuple[float, float]]) -> float:
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True))) / 2 if points else 0.0
+
+
+def box_overlap(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> float:
+    """Intersection over union of a polygon and a rectangle."""
+    shared = area(clip_to_box(points, box))
+    total = area(points) + (box[2] - box[0]) * (box[3] - box[1]) - shared
+    return shared / total if total > 0 else 0.0
+
+
+def crossing(a: tuple, b: tuple, c: tuple, d: tuple) -> bool:
+    """Whether the segments a b and c d share a point."""
+    def side(p, q, r):
+        v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        return (v > 0) - (v < 0)
+
+    def on(p, q, r):
+        return min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
+
+    s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+    if s[0] != s[1] and s[2] != s[3]:
+        return True
+    return any(k == 0 and on(*seg, p) for k, seg, p in ((s[0], (a, b), c), (s[1], (a, b), d), (s[2], (c, d), a), (s[3], (c, d), b)))
+
+
+def is_simple(points: list[tuple[float, float]]) -> bool:
+    """At least three corners, some area, and no two sides that touch other than at a shared corner."""
+    n = len(points)
+    if n < 3 or area(points) == 0:
+        return False
+    sides = [(points[i], points[(i + 1) % n]) for i in range(n)]
+    return not any(crossing(*sides[i], *sides[j]) for i in range(n) for j in range(i + 2, n) if (j + 1) % n != i)
+
+
+def merge_similar(cells: DataFrame, similar, key: str = "grid_id") -> DataFrame:
+    """Cells with rarer colours replaced along the chain of similar more frequent ones; only the colour counts of a grid meet in a task."""
+    counts = cells.where("color IS NOT NULL").groupBy(key, "color").agg(F.count(F.lit(1)).alias("n"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "color"], ascending=[False, True])
+        to = replacement_chain(pdf["color"].tolist(), pdf["n"].tolist(), similar)
+        return pd.DataFrame({key: pdf[key], "color": pdf["color"], "_to": [to.get(c, c) for c in pdf["color"]]})
+
+    swaps = counts.groupBy(key).applyInPandas(chain, f"{key} long, color string, _to string")
+    return cells.join(swaps, [key, "color"], "left").withColumn("color", F.coalesce("_to", "color")).drop("_to")
+
+
+def limit_colors(cells: DataFrame, palette: dict[str, tuple[int, int, int]], k: int, distance, key: str = "grid_id") -> DataFrame:
+    """At most k colours in each grid: frequent and far-apart ones stay, others go to the nearest of them (ties: smaller id)."""
+    counts = cells.where("color IS NOT NULL").groupBy(key, "color").agg(F.count(F.lit(1)).alias("n"))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "color"], ascending=[False, True])
+        ids = pdf["color"].tolist()
+        kept = [ids[i] for i in spread_selection(np.array([palette[c] for c in ids], float), pdf["n"].to_numpy(float), k)]
+        to = [c if c in kept else min(kept, key=lambda q: (distance(palette[c], palette[q]), q)) for c in ids]
+        return pd.DataFrame({key: pdf[key], "color": ids, "_to": to})
+
+    swaps = counts.groupBy(key).applyInPandas(choose, f"{key} long, color string, _to string")
+    return cells.join(swaps, [key, "color"], "left").withColumn("color", F.coalesce("_to", "color")).drop("_to")

@@ -63,3 +63,10 @@ def runs(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def expand_runs(df: DataFrame, value: str = "idx") -> DataFrame:
     return df.withColumn(value, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1))).drop("start", "length")
+
+
+def svg_documents(elements: DataFrame, width_mm: float, height_mm: float) -> DataFrame:
+    """(grid_id, svg): one document a grid from its ``svg_cells`` elements, in row order; a grid's cells are bounded."""
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "svg"))), lambda e: e["svg"]), "")
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width_mm:g}mm" height="{height_mm:g}mm" viewBox="0 0 {width_mm:g} {height_mm:g}">'
+    return elements.groupBy("grid_id").agg(F.concat(F.lit(head), body, F.lit("</svg>")).alias("svg"))

@@ -125,3 +125,31 @@ def budget_by_frequency(cells: DataFrame, n: int) -> DataFrame:
     counts = cells.where("color IS NOT NULL").groupBy("grid_id", "color").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("grid_id").orderBy(F.desc("n"), "color"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def minority_modes(bins: DataFrame, top: int = 3, least: float = 0.02, contrast: float = 0.18) -> DataFrame:
+    """(grid_id, cx, cy, key, share, contrast): beside the ``top`` heaviest bins of a cell, the one that stands out most from the heaviest.
+
+    Candidates hold at least ``least`` of the cell and differ by more than ``contrast`` in OKLab; contrast times root share decides.
+    """
+    cell = Window.partitionBy("grid_id", "cx", "cy")
+    lab = C.oklab((F.col("lr"), F.col("lg"), F.col("lb")))
+    rows = bins.withColumns({"share": F.col("weight") / F.sum("weight").over(cell), "place": F.row_number().over(cell.orderBy(F.round("weight", 9).desc(), "key"))})
+    rows = rows.withColumns(dict(zip(C.OK, lab, strict=True)))
+    main = tuple(F.first(F.when(F.col("place") == 1, F.col(c)), ignorenulls=True).over(cell) for c in C.OK)
+    rows = rows.withColumn("contrast", F.sqrt(C.squared(tuple(F.col(c) for c in C.OK), main)))
+    rows = rows.where((F.col("place") > top) & (F.col("share") >= least) & (F.col("contrast") > contrast))
+    best = F.row_number().over(cell.orderBy(F.round(F.col("contrast") * F.sqrt("share"), 9).desc(), "key"))
+    return rows.withColumn("_best", best).where("_best = 1").select("grid_id", "cx", "cy", "key", "share", "contrast")
+
+
+def sample_points(pixels: DataFrame, width: int, height: int, w: int, h: int, n: int) -> DataFrame:
+    """(grid_id, cx, cy, sx, sy, r, g, b, a): n x n evenly spread sample points in each cell, read from the nearest pixel."""
+    spots = []
+    for c in range(w * h):
+        cy, cx = divmod(c, w)
+        for s in range(n * n):
+            sy, sx = divmod(s, n)
+            spots.append((cx, cy, sx, sy, min(width - 1, int((cx + (sx + 0.5) / n) * width / w)), min(height - 1, int((cy + (sy + 0.5) / n) * height / h))))
+    grid = pixels.sparkSession.createDataFrame(spots, "cx int, cy int, sx int, sy int, x int, y int")
+    return pixels.join(F.broadcast(grid), ["x", "y"]).select("grid_id", "cx", "cy", "sx", "sy", "r", "g", "b", "a")

@@ -31,3 +31,10 @@ def review_summary(ratings: DataFrame, group: str, metrics: list[str]) -> DataFr
     per = ratings.groupBy(group).agg(*[F.avg(m).alias(m) for m in metrics])
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("p")
     return per.select(pairs).select("p.*").groupBy("metric").agg(F.avg("value").alias("mean"), F.count("value").alias("groups"))
+
+
+def bill_differences(cells: DataFrame, bill: DataFrame) -> DataFrame:
+    """(grid_id, color, counted, stated): colours whose stated number isn't that of the cells; either side may lack one."""
+    counted = cells.where("color IS NOT NULL").groupBy("grid_id", "color").agg(F.count(F.lit(1)).alias("counted"))
+    both = counted.join(bill.select("grid_id", "color", F.col("n").alias("stated")), ["grid_id", "color"], "full")
+    return both.where(~F.col("counted").eqNullSafe(F.col("stated")))

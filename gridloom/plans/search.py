@@ -9,12 +9,14 @@ from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import match as M
 from ..operators import optimize as O
+from ..operators import pages as P
 from ..operators import sampling as S
+from ..operators import validate as V
 from ..sources.tables import palette, tile_cells, tiles
-from .base import CELLS, PAL, PX, lab, lab_of_linear, query, redmean
+from .base import CELLS, PAL, PX, lab, lab_of_linear, linear, query, redmean
 from .colors import NEAREST, rgb
 from .grids import STEP4, STEP8, regions_sql
-from .images import AREA, SCALE
+from .images import AREA, OVERLAP, SCALE
 
 
 @query(f"""WITH {PX}, {PAL}, n AS (SELECT grid_id, x // 2 AS cx, y // 2 AS cy, idx, arg_min(q.id, ({redmean('p', 'q')}, q.pos)) AS color FROM px p, pal q GROUP BY 1, 2, 3, 4),
@@ -121,3 +123,54 @@ def skeleton_points(spark, sf):
 def shape_outlines(spark, sf):
     rows = spark.createDataFrame([(k, 2 + i, 1, 14 - i, 4 + 2 * i) for k in H.SHAPES for i in range(5)], "kind string, x0 int, y0 int, x1 int, y1 int")
     return rows.select("*", F.explode(H.shape_cells(*[F.col(c) for c in ("kind", "x0", "y0", "x1", "y1")])).alias("c")).select("kind", "x0", "y0", "x1", "y1", "c.x", "c.y")
+
+
+@query(f"""WITH {PX}, {OVERLAP}, bn AS (SELECT grid_id, cx, cy, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4) AS key, sum(w) AS weight, sum(w * {linear('r')}) / sum(w) AS lr, sum(w * {linear('g')}) / sum(w) AS lg, sum(w * {linear('b')}) / sum(w) AS lb FROM ov WHERE w > 0 GROUP BY 1, 2, 3, 4),
+sh AS (SELECT *, weight / sum(weight) OVER c AS share, row_number() OVER (PARTITION BY grid_id, cx, cy ORDER BY round(weight, 9) DESC, key) AS place FROM bn WINDOW c AS (PARTITION BY grid_id, cx, cy)),
+{lab_of_linear('sh', 'grid_id, cx, cy, key, share, place', 'o')}, d AS (SELECT o.*, sqrt((o.ok_l - m.ok_l) ** 2 + (o.ok_a - m.ok_a) ** 2 + (o.ok_b - m.ok_b) ** 2) AS contrast FROM o JOIN o m ON m.place = 1 AND m.grid_id = o.grid_id AND m.cx = o.cx AND m.cy = o.cy),
+k AS (SELECT *, row_number() OVER (PARTITION BY grid_id, cx, cy ORDER BY round(contrast * sqrt(share), 9) DESC, key) AS best FROM d WHERE place > 3 AND share >= 0.02 AND contrast > 0.02)
+SELECT grid_id, cx, cy, key, round(share, 6) AS share, round(contrast, 6) AS contrast FROM k WHERE best = 1""")
+def minority_modes(spark, sf):
+    rows = S.minority_modes(S.color_bins(tiles(spark, sf), 8, 8, 3, 3), contrast=0.02)
+    return rows.select("grid_id", "cx", "cy", "key", F.round("share", 6).alias("share"), F.round("contrast", 6).alias("contrast"))
+
+
+@query(f"""WITH {PX}, s AS (SELECT (c % 4)::INT AS cx, (c // 4)::INT AS cy, least(7, floor(((c % 4) + ((k % 3) + 0.5) / 3::DOUBLE) * 2))::INT AS x, least(7, floor(((c // 4) + ((k // 3) + 0.5) / 3::DOUBLE) * 2))::INT AS y
+  FROM (SELECT unnest(range(0, 16)) AS c), (SELECT unnest(range(0, 9)) AS k))
+SELECT grid_id, cx, cy, count(*)::BIGINT AS n, round(avg(CASE WHEN a < 24 THEN 1 ELSE 0 END), 6) AS background, floor(avg(r) FILTER (a >= 24) + 0.5)::INT AS r FROM px JOIN s USING (x, y) GROUP BY 1, 2, 3""")
+def sample_grid(spark, sf):
+    rows = S.sample_points(tiles(spark, sf), 8, 8, 4, 4, 3)
+    clear = F.col("a") < 24
+    out = rows.groupBy("grid_id", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(clear.cast("int")), 6).alias("background"), C.half_up(F.avg(F.when(~clear, F.col("r")))).cast("int").alias("r"))
+    return out.select("grid_id", "cx", "cy", "n", "background", "r")
+
+
+MM = "regexp_replace(regexp_replace(printf('%.4f', {} * 2.6::DOUBLE), '0+$', ''), '[.]$', '')"
+
+
+@query(f"""WITH {CELLS}, {PAL} SELECT grid_id, '<svg xmlns="http://www.w3.org/2000/svg" width="20.8mm" height="20.8mm" viewBox="0 0 20.8 20.8">' || string_agg('<rect x="' || {MM.format('x')} || '" y="' || {MM.format('y')} || '" width="2.6" height="2.6" fill="'
+  || printf('#%02X%02X%02X', r, g, b) || '"><title>' || code || '</title></rect>', '' ORDER BY y, x) || '</svg>' AS svg FROM cells JOIN pal ON pal.id = 'c' || lpad(substr(color, 2), 2, '0') GROUP BY 1""")
+def svg_documents(spark, sf):
+    named = F.when(F.col("color").isNotNull(), F.concat(F.lit("c"), F.lpad(F.substring("color", 2, 9), 2, "0")))
+    return P.svg_documents(P.svg_cells(tile_cells(spark, sf).withColumn("color", named), palette(spark), 2.6), 20.8, 20.8)
+
+
+@query(f"""WITH {CELLS}, c AS (SELECT grid_id, color, count(*)::BIGINT AS counted FROM cells WHERE color IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT grid_id, color, CASE WHEN grid_id % 50 = 0 THEN counted + 1 ELSE counted END AS stated FROM c WHERE grid_id % 70 <> 3 UNION ALL SELECT 5, 'k99', 2)
+SELECT grid_id, color, counted, stated FROM c FULL JOIN b USING (grid_id, color) WHERE counted IS DISTINCT FROM stated""")
+def bill_differences(spark, sf):
+    cells = tile_cells(spark, sf)
+    counted = cells.where("color IS NOT NULL").groupBy("grid_id", "color").agg(F.count(F.lit(1)).alias("n")).where("grid_id % 70 <> 3")
+    bill = counted.withColumn("n", F.when(F.col("grid_id") % 50 == 0, F.col("n") + 1).otherwise(F.col("n"))).unionByName(spark.createDataFrame([(5, "k99", 2)], "grid_id long, color string, n long"))
+    return V.bill_differences(cells, bill)
+
+
+@query()
+def merge_similar_colors(spark, sf):
+    return G.merge_similar(tile_cells(spark, sf), lambda a, b: abs(int(a[1:]) - int(b[1:])) == 1).select("grid_id", "idx", "color")
+
+
+@query()
+def limit_grid_colors(spark, sf):
+    colors = {f"k{i}": (i * 24 + 96, 159 - i * 24, i * 30) for i in range(12)}
+    return G.limit_colors(tile_cells(spark, sf), colors, 3, lambda p, q: sum((a - b) ** 2 for a, b in zip(p, q, strict=True))).select("grid_id", "idx", "color")

@@ -128,3 +128,29 @@ def test_shapes_in_a_table(spark):
     rows = spark.createDataFrame([(k, 1, 1, 12, 9) for k in S.SHAPES], "kind string, x0 int, y0 int, x1 int, y1 int")
     out = rows.select("kind", S.shape_cells(*[F.col(c) for c in ("kind", "x0", "y0", "x1", "y1")]).alias("c")).collect()
     assert {r.kind: {(c.x, c.y) for c in r.c} for r in out} == {k: f(1, 1, 12, 9) for k, f in S.SHAPES.items()}
+
+
+def test_polygon_overlap():
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    assert G.box_overlap(square, (5, 0, 15, 10)) == pytest.approx(1 / 3)
+    assert G.box_overlap(square, (20, 20, 30, 30)) == 0 and G.box_overlap(square, (0, 0, 10, 10)) == pytest.approx(1)
+    triangle = [(0.0, 0.0), (8.0, 0.0), (0.0, 8.0)]
+    assert G.area(G.clip_to_box(triangle, (0, 0, 4, 4))) == pytest.approx(16)
+
+
+def test_simple_polygons():
+    assert G.is_simple([(0, 0), (4, 0), (4, 4), (0, 4)])
+    assert not G.is_simple([(0, 0), (4, 4), (4, 0), (0, 4)]) and not G.is_simple([(0, 0), (1, 1), (2, 2)])
+    assert G.crossing((0, 0), (4, 0), (2, 0), (2, 5)) and not G.crossing((0, 0), (1, 0), (2, 0), (3, 0))
+
+
+def test_limits_and_chains_per_grid(spark):
+    rows = [(1, i, c) for i, c in enumerate("aaaabbbccd")] + [(2, 0, "d"), (2, 1, None)]
+    cells = spark.createDataFrame(rows, "grid_id long, idx int, color string")
+    near = lambda p, q: abs(ord(p) - ord(q)) == 1
+    merged = {(r.grid_id, r.idx): r.color for r in G.merge_similar(cells, near).collect()}
+    assert {merged[1, i] for i in range(10)} == {"a"} and merged[2, 0] == "d" and merged[2, 1] is None
+    palette = {"a": (0, 0, 0), "b": (1, 0, 0), "c": (90, 0, 0), "d": (99, 0, 0)}
+    kept = G.limit_colors(cells, palette, 2, lambda p, q: abs(p[0] - q[0]))
+    got = {(r.grid_id, r.idx): r.color for r in kept.collect()}
+    assert {got[1, i] for i in range(7)} == {"a"} and {got[1, 7], got[1, 8], got[1, 9]} == {"c"} and got[2, 0] == "d"

@@ -166,9 +166,10 @@ def simhash_components(df: DataFrame, scratch: Scratch | None = None, shingle: i
     reps = scratch.table(docs.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     found = scratch.table(links(reps, radius).select("a", "b"), "links")
     comp = connected_components(found, scratch)
-    grouped = reps.join(comp, reps.fp == comp.node, "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.select("fp", "group").join(least, "group").select("fp", "component_id")
+    comp = scratch.table(comp.withColumnRenamed("node", "fp"), "nodes")
+    # A table of its own: the join below then has an exchange of its own, in which a hot component can be split.
+    least = scratch.table(reps.join(comp, "fp").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    named = reps.join(comp, "fp", "left").join(least, "component", "left").select("fp", F.coalesce("least", "doc_id").alias("component_id"))
     named = scratch.table(named, "components")
     out = docs.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

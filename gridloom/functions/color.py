@@ -16,6 +16,19 @@ LMS_INVERSE = ((1.0, 0.3963377774, 0.2158037573), (1.0, -0.1055613458, -0.063854
 RGB_INVERSE = ((4.0767416621, -3.3077115913, 0.2309699292), (-1.2684380046, 2.6097574011, -0.3413193965), (-0.0041960863, -0.7034186147, 1.707614701))
 #: Names of the OKLab columns.
 OK = ("ok_l", "ok_a", "ok_b")
+#: Limits by level 0 to 4. Fixed values.
+QUANTISE_STEP = (1, 5, 9, 14, 20)
+QUANTISE_GREY = (0, 8, 14, 20, 28)
+SIMILAR_DISTANCE = (0, 26, 42, 62, 84)
+#: Limits of merges in an editor by level 1 to 4: of greys, then of vivid and other colours. Fixed values.
+GREY_DISTANCE = (48, 68, 88, 108)
+GREY_LUMA = (30, 44, 60, 76)
+VIVID_HUE = (12, 18, 28, 38)
+CHROMA_GAP = (30, 44, 60, 76)
+LUMA_GAP = (34, 50, 68, 84)
+VIVID_DISTANCE = (34, 50, 66, 82)
+OTHER_DISTANCE = (44, 64, 84, 104)
+NEAR_HUE = (14, 24, 36, 48)
 #: sRGB to XYZ rows divided by the D65 white. Fixed values.
 XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.072175), (0.0193339, 0.119192, 0.9503041))
 WHITE = (0.95047, 1.0, 1.08883)
@@ -146,7 +159,7 @@ def rgb_to_hsl(p: Rgb) -> Rgb:
 
 def simplify(p: Rgb, level: int) -> Rgb:
     """Near-greys become grey, other channels are quantised; both by level 0..4."""
-    step, limit = (1, 5, 9, 14, 20)[level], (0, 8, 14, 20, 28)[level]
+    step, limit = QUANTISE_STEP[level], QUANTISE_GREY[level]
     if level == 0:
         return p
 
@@ -184,7 +197,7 @@ def in_class(p: Rgb, name: str) -> Column:
 
 def similar(p: Rgb, q: Rgb, level: int, rare: bool = False) -> Column:
     """Whether two colours count as alike at a level 0..4; ``rare`` colours are merged more readily."""
-    base = (0, 26, 42, 62, 84)[level]
+    base = SIMILAR_DISTANCE[level]
     cp, cq, lp, lq = chroma(p), chroma(q), luma(p), luma(q)
     dark = (lp < 84) & (lq < 84)
     light = (lp > 188) & (lq > 188) & (cp < 46) & (cq < 46)
@@ -220,14 +233,14 @@ def adjust(df: DataFrame, temperature: float = 0, contrast: float = 0, brightnes
 
 def close_for_merge(p: Rgb, q: Rgb, level: int) -> Column:
     """Whether an editor may merge two colours at a level 1..4; greys, vivid and other colours have limits of their own."""
-    pick = lambda *v: float(v[level - 1])
+    pick = lambda v: float(v[level - 1])
     cp, cq = chroma(p), chroma(q)
     grey, vivid = (cp < 34) & (cq < 34), (cp > 72) | (cq > 72)
     gap = F.abs(luma(p) - luma(q))
     turn = F.abs(rgb_to_hsl(p)[0] - rgb_to_hsl(q)[0])
     turn = F.least(turn, 360 - turn)
     d = redmean(p, q)
-    limit = F.when(vivid, pick(34, 50, 66, 82)).otherwise(pick(44, 64, 84, 104))
-    greys = (d <= pick(48, 68, 88, 108)) & (gap <= pick(30, 44, 60, 76))
-    near = (~vivid | (turn <= pick(12, 18, 28, 38))) & (F.abs(cp - cq) <= pick(30, 44, 60, 76)) & (gap <= pick(34, 50, 68, 84))
-    return F.when(grey, greys).otherwise(near & ((d <= limit) | ((turn <= pick(14, 24, 36, 48)) & (d <= limit * 1.18))))
+    limit = F.when(vivid, pick(VIVID_DISTANCE)).otherwise(pick(OTHER_DISTANCE))
+    greys = (d <= pick(GREY_DISTANCE)) & (gap <= pick(GREY_LUMA))
+    near = (~vivid | (turn <= pick(VIVID_HUE))) & (F.abs(cp - cq) <= pick(CHROMA_GAP)) & (gap <= pick(LUMA_GAP))
+    return F.when(grey, greys).otherwise(near & ((d <= limit) | ((turn <= pick(NEAR_HUE)) & (d <= limit * 1.18))))

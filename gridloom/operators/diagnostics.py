@@ -74,6 +74,11 @@ def label_regions(color: np.ndarray, x: np.ndarray, y: np.ndarray, same_color: b
     return np.where(out == h * w, -1, out)
 
 
+def spread(df: DataFrame, key: str = "grid_id") -> DataFrame:
+    """Rows dealt by grid to as many tasks as the session shuffles to: small cells are few bytes but much work, so tasks aren't merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def regions(cells: DataFrame, same_color: bool = False, eight: bool = False) -> DataFrame:
     """(grid_id, idx, region): region is the smallest idx that can be reached; empty cells are left out.
 
@@ -84,7 +89,7 @@ def regions(cells: DataFrame, same_color: bool = False, eight: bool = False) ->
         region = label_regions(pdf["color"].to_numpy(object), pdf["x"].to_numpy(), pdf["y"].to_numpy(), same_color, eight)
         return pd.DataFrame({"grid_id": pdf["grid_id"], "idx": pdf["idx"], "region": region.astype(np.int32)})[region >= 0]
 
-    return cells.select("grid_id", "idx", "x", "y", "color").groupBy("grid_id").applyInPandas(label, "grid_id long, idx int, region int")
+    return spread(cells.select("grid_id", "idx", "x", "y", "color")).groupBy("grid_id").applyInPandas(label, "grid_id long, idx int, region int")
 
 
 def flood(cells: DataFrame, start: int, eight: bool = False) -> DataFrame:

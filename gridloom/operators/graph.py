@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .diagnostics import label_regions
+from .diagnostics import label_regions, spread
 
 RING = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
 
@@ -205,7 +205,7 @@ def merge_regions(cells: DataFrame, width: int, limit: int) -> DataFrame:
         color = pdf["color"].astype(object).where(pdf["color"].notna(), None).to_numpy(object)
         return pd.DataFrame({"grid_id": pdf["grid_id"], "idx": pdf["idx"], "color": merge_small_regions(color, width, limit)})
 
-    return cells.select("grid_id", "idx", "color").groupBy("grid_id").applyInPandas(run, "grid_id long, idx int, color string")
+    return spread(cells.select("grid_id", "idx", "color")).groupBy("grid_id").applyInPandas(run, "grid_id long, idx int, color string")
 
 
 def skeletons(cells: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def skeletons(cells: DataFrame) -> DataFrame:
         found = critical_cells(mask)
         return pd.DataFrame({"grid_id": pdf["grid_id"].iat[0], "x": [p[0] for p in found], "y": [p[1] for p in found]}).astype({"x": "int32", "y": "int32"})
 
-    return cells.select("grid_id", "x", "y", "color").groupBy("grid_id").applyInPandas(run, "grid_id long, x int, y int")
+    return spread(cells.select("grid_id", "x", "y", "color")).groupBy("grid_id").applyInPandas(run, "grid_id long, x int, y int")
 
 
 def clip_to_box(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:

@@ -19,10 +19,22 @@ def _packed(palette: DataFrame, *columns: str) -> DataFrame:
     return packed.select(F.when(F.size("_palette") > MAX_PALETTE, too_many).otherwise(F.col("_palette")).alias("_palette"))
 
 
-def _best(df: DataFrame, palette: DataFrame, distance: Callable[[Column], Column], tie: str, columns: tuple[str, ...], out: str) -> DataFrame:
-    pal = _packed(palette, *columns)
-    scored = F.transform("_palette", lambda p: F.struct(distance(p).alias("d"), p[tie].alias("tie"), p["id"].alias("id")))
-    return df.crossJoin(F.broadcast(pal)).withColumn(out, F.array_min(scored)["id"]).drop("_palette")
+#: Palettes up to this size become one compiled expression; larger ones are an array that is walked for each row.
+UNROLLED = 64
+
+
+def _best(df: DataFrame, palette: DataFrame, distance: Callable[[dict[str, Column]], Column], tie: str, columns: tuple[str, ...], out: str) -> DataFrame:
+    """The palette colour of least (distance, tie). A palette is bounded, so its rows come to the driver and go out as constants."""
+    rows = sorted(tuple(r) for r in palette.select(*columns).limit(MAX_PALETTE + 1).collect())
+    if not 0 < len(rows) <= MAX_PALETTE:
+        raise ValueError(f"a palette has at least one and at most {MAX_PALETTE} colours")
+    if len(rows) > UNROLLED:
+        pal = _packed(palette, *columns)
+        scored = F.transform("_palette", lambda p: F.struct(distance({c: p[c] for c in columns}).alias("d"), p[tie].alias("tie"), p["id"].alias("id")))
+        return df.crossJoin(F.broadcast(pal)).withColumn(out, F.array_min(scored)["id"]).drop("_palette")
+    known = [{c: F.lit(v) for c, v in zip(columns, r, strict=True)} for r in rows]
+    scored = [F.struct(distance(p).alias("d"), p[tie].alias("tie"), p["id"].alias("id")) for p in known]
+    return df.withColumn(out, (F.least(*scored) if len(scored) > 1 else scored[0])["id"])
 
 
 def nearest_oklab(df: DataFrame, palette: DataFrame, out: str = "color") -> DataFrame:

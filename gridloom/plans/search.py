@@ -106,7 +106,7 @@ def energy_terms(spark, sf):
 def optimize_tiles(spark, sf):
     cells = C.with_oklab(tiles(spark, sf))
     cells = cells.select("grid_id", "idx", *[F.when(F.col("a") > 0, F.col(c)).alias(c) for c in C.OK])
-    return O.optimize_grids(cells, palette(spark), O.Spec(max_colors=4, restarts=1), 8)
+    return O.optimize_grids(cells, palette(spark), O.Spec(max_colors=4), 8)
 
 
 @query()

@@ -221,11 +221,37 @@ def test_simhash_components(spark):
     assert got == want
     kept = H.simhash_dedup(df)
     assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and {c for _, _, c in want} == set(ids)
+    left = [(r.doc_id, f"{plain_fingerprint(r.text):016x}") for r in kept.collect()]
+    assert len(left) == len(set(left)) and set(left) == {(d, f) for d, f, c in want if d == c}
     assert H.simhash_components(frame(spark, [])).count() == 0 and H.simhash_dedup(frame(spark, [])).count() == 0
 
 
+def test_index_sets_and_count_filter():
+    from itertools import combinations
+
+    assert len(H.position_keys(4)) == 20
+    for least in range(2, 9):
+        assert all(any(set(k) <= set(w) for k in H.position_keys(least)) for w in combinations(range(8), least))
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    three = base ^ np.uint64(0x1F1F1F1F1F << 24)  # three positional bytes in common, far apart
+    four = base ^ np.uint64(0x01010101)  # four in common, four bits apart
+    fps = np.concatenate([base, three, four])
+    keys = H.list_keys(fps, 4)
+    order = np.argsort(keys.reshape(-1), kind="stable")
+    H.SEEN.update(tallied=0, kept=0, near=0)
+    a, b = (np.concatenate(x) for x in zip(*H.list_links(keys.reshape(-1)[order], np.repeat(fps, keys.shape[1])[order], 4)))
+    rows = np.repeat(fps, keys.shape[1])[order]
+    assert {(int(min(x, y)), int(max(x, y))) for x, y in zip(rows[a], rows[b])} == {(int(min(x, y)), int(max(x, y))) for x, y in zip(base, four)}
+    assert H.SEEN["tallied"] - H.SEEN["kept"] >= 400 and H.SEEN["kept"] >= H.SEEN["near"] >= 400
+
+
+def test_different_texts_under_one_id_stay(spark):
+    rows = [(5, "alpha beta gamma delta epsilon"), (5, "totally different words stand here"), (3, "one more text of its own"), (5, "one more text of its own")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, _kept_id int, fp int")
+    assert sorted((r.doc_id, r.text) for r in H.simhash_dedup(df).collect()) == sorted(rows[:3]) and H.simhash_dedup(df).columns == df.columns
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
 def test_connected_components(spark, shape):
     rng = random.Random(8)

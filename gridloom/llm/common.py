@@ -10,21 +10,22 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: list[str] = []
-_LIVE: dict[int, list[tuple[SparkSession, str]]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary folder only where that is unset and one machine runs all (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         folder = tempfile.TemporaryDirectory(prefix="gridloom-")
         atexit.register(folder.cleanup)
@@ -81,23 +82,26 @@ def cumcount(keys: np.ndarray, seen: dict[int, int]) -> np.ndarray:
     return out
 
 
-def counted_by(key: str):
-    """A mapInPandas step that adds ``part`` and ``local``: the task and the running number of ``key`` in that task.
+def with_counts(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``part`` and ``local``: the task and the running number of ``key`` (never null) in that task.
 
-    Its output must be written to a table before it is used: the numbers hold for the rows as they were written.
+    It must be written to a table before it is used: the numbers hold for the rows as they were written. Rows stay in
+    Arrow, so that whole numbers beside nulls keep all their digits.
     """
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
         for b in batches:
-            yield b.assign(part=np.full(len(b), part, np.int32), local=cumcount(b[key].to_numpy(np.int64), seen))
+            local = cumcount(b.column(key).to_numpy(zero_copy_only=False).astype(np.int64), seen)
+            yield appended(b, part=np.full(len(local), part, np.int32), local=local)
 
-    return step
+    schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType())])
+    return df.mapInArrow(step, schema)
 
 
-def with_counts(df: DataFrame, key: str) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType())])
-    return df.mapInPandas(counted_by(key), schema)
+def appended(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
+    """The batch with further columns."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], names=[*batch.schema.names, *columns])
 
 
 def gapless(written: DataFrame, key: str, out: str) -> DataFrame:

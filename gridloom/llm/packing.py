@@ -6,11 +6,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, gapless, with_counts
+from .common import Scratch, appended, gapless, with_counts
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -91,22 +91,26 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 def token_pieces(df: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece: ids of the whole text, the end id, cut from the back in pieces of ``capacity``."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for b in batches:
-            rows = []
-            for doc, null, text in zip(b["doc_id"], b["doc_id"].isna(), b["text"], strict=True):
-                ids = np.append(enc.ids(text if isinstance(text, str) else ""), np.uint32(END_ID)).astype("<u4")
+            rows, found = [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                ids = np.append(enc.ids(text or ""), np.uint32(END_ID)).astype("<u4")
                 first = len(ids) % capacity or min(capacity, len(ids))
                 start = 0
                 for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
-                    rows.append((None if null else int(doc), piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+                    rows.append(k)
+                    found.append((piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
                     start = end
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            table = np.array(found, np.int64).reshape(-1, 4).T
+            columns = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(table[0].astype(np.int32)), *map(pa.array, table[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
@@ -127,19 +131,19 @@ def pack_documents(df: DataFrame, vocabulary: str | None = None, capacity: int =
     runs = np.array(plan_bins(counts, capacity), np.int64).reshape(-1, 6)
     numbered = gapless(written, "length", "number")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((runs[:, 1], runs[:, 0]))
         plan = runs[order]
         # Runs of a length are consecutive from number 0: one search over (length, number) finds a piece's run.
         top = int(plan[:, 2].max()) + 1 if len(plan) else 1
         starts = plan[:, 0] * top + plan[:, 1]
         for b in batches:
-            length, number = b["length"].to_numpy(np.int64), b["number"].to_numpy(np.int64)
+            length, number = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "number"))
             r = plan[np.searchsorted(starts, length * top + number, side="right") - 1]
             k = number - r[:, 1]
-            yield b.drop(columns=["number"]).assign(sequence_id=r[:, 3] + k // r[:, 4], offset=r[:, 5] + k % r[:, 4] * length)
+            yield appended(b.drop_columns(["number"]), sequence_id=r[:, 3] + k // r[:, 4], offset=r[:, 5] + k % r[:, 4] * length)
 
-    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInPandas(
+    return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 

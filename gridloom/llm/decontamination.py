@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +69,15 @@ def char_masks(item: str) -> dict[str, int]:
 
 
 class Matcher:
-    """Finds which items a text contains within their budgets. Items: (item_id, normalised text)."""
+    """Finds which items a text contains within their budgets. Items: (item_id, normalised text).
+
+    An item without a budget (under CHARS_PER_ERROR characters) is found only between word edges; there is no least length.
+    """
 
     def __init__(self, items: list[tuple[int | None, str]]):
         import ahocorasick
 
-        self.items = [(i, t, budget(t)) for i, t in items if t]
+        self.items = [(i, t if budget(t) else f" {t} ", budget(t)) for i, t in items if t]
         self.masks: dict[int, dict[str, int]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
@@ -90,6 +94,7 @@ class Matcher:
         norm = normalise(text)
         if not norm or not self.items:
             return []
+        norm = f" {norm} "
         starts: dict[int, set[int]] = {}
         for end, (n, where) in self.auto.iter(norm):
             for k, offset in where:
@@ -114,57 +119,58 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The items, normalised, in blocks of about BLOCK_CHARS characters, however large their table is; one block is held at a time."""
+def item_blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The items, normalised, in blocks of about BLOCK_CHARS characters, each broadcast: a block's size is bounded, however large their table."""
     chars = items.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
     n = -(-chars // BLOCK_CHARS) or 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for i in range(n):
         rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(block == i).distinct().collect()
-        yield sorted(((r.item_id, normalise(r.text)) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        found = sorted(((r.item_id, normalise(r.text)) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield items.sparkSession.sparkContext.broadcast(found)
+
+
+_MADE: dict[int, Matcher] = {}
+
+
+def matcher(block: Broadcast) -> Matcher:
+    """A block's matcher, made once per worker; a worker keeps one at a time."""
+    if block.id not in _MADE:
+        _MADE.clear()
+        _MADE[block.id] = Matcher(block.value)
+    return _MADE[block.id]
+
+
+def _search(block: Broadcast):
+    @F.pandas_udf("array<struct<item_id:long,errors:int>>")
+    def search(texts: pd.Series) -> pd.Series:
+        m = matcher(block)
+        return pd.Series([[{"item_id": i, "errors": e} for i, e in m.matches(t if isinstance(t, str) else None)] for t in texts], dtype=object)
+
+    return search
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, errors) for each row of ``docs`` and each item it contains within the item's budget.
 
     Texts are compared in normal form (lower case, punctuation as spaces); an item of n characters may have n // 20
-    edits. Null, empty and punctuation-only items match nothing, and nothing matches a null text; a null doc_id or
-    item_id stays null; repeated rows of ``docs`` match each, repeated items once; extra columns are ignored; an empty
-    table on either side gives no rows.
+    edits, so items under 20 characters are matched exactly, between word edges. Null, empty and punctuation-only items match
+    nothing, and nothing matches a null text; a null doc_id or item_id stays null; repeated rows of ``docs`` match each,
+    repeated items once; extra columns are ignored; an empty table on either side gives no rows. Documents are read once
+    for each BLOCK_CHARS characters of items.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in item_blocks(items):
-
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(block)
-            for b in batches:
-                rows = []
-                for doc, null, text in zip(b["doc_id"], b["doc_id"].isna(), b["text"], strict=True):
-                    rows += [(None if null else int(doc), i, e) for i, e in matcher.matches(text if isinstance(text, str) else None)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "errors"]).astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        found = source.mapInPandas(search, "doc_id long, item_id long, errors int")
+        found = source.select("doc_id", F.explode(_search(block)("text")).alias("m")).select("doc_id", "m.item_id", "m.errors")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _clean_udf(block: list[tuple[int | None, str]]):
-    made: list[Matcher] = []
-
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Matcher(block))
-        return pd.Series([not made[0].matches(t if isinstance(t, str) else None) for t in texts], dtype=bool)
-
-    return clean
-
-
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
     for block in item_blocks(items):
-        docs = docs.where(_clean_udf(block)(F.col("text").cast("string")))
+        docs = docs.where(F.size(_search(block)(F.col("text").cast("string"))) == 0)
     return docs
 
 

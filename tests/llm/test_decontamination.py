@@ -49,7 +49,7 @@ def test_matcher_equals_brute_force():
         i, item = rng.choice(items)
         text = " ".join(word() for _ in range(8)) + " " + edited(rng, item, rng.randint(0, 9)) + " " + " ".join(word() for _ in range(8))
         norm = D.normalise(text)
-        want = [(j, d) for j, t in items if (d := substring_distance(t, norm)) <= D.budget(t)]
+        want = [(j, d) for j, t in items if (d := substring_distance(t, norm) if D.budget(t) else int(f" {t} " not in f" {norm} ")) <= D.budget(t)]
         assert m.matches(text) == want
 
 
@@ -75,3 +75,17 @@ def test_blocks_cover_all_items(spark, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in D.contamination(docs, items).where("errors = 0").collect()}
     assert {(i, i) for i in range(20)} <= got
     assert D.decontaminate(docs, items).count() == 0
+
+
+def test_short_items_match_on_word_edges(spark):
+    m = D.Matcher([(1, "cat"), (2, "a"), (3, "two words")])
+    assert m.matches("concatenate catalog") == [] and m.matches("The cat.") == [(1, 0)] and m.matches("A dog") == [(2, 0)]
+    assert m.matches("two words") == [(3, 0)] and m.matches("xtwo words") == m.matches("two wordsy") == []
+
+
+def test_ids_keep_their_digits(spark):
+    item = "the quick brown fox jumps over the lazy dog again and again today"
+    docs = spark.createDataFrame([(2**53 + 1, item), (None, item), (2**63 - 1, item), (2**53 + 3, "x")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(2**53 + 1, item), (None, item[4:])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contamination(docs, items).collect()}
+    assert got == {(d, i) for d in (2**53 + 1, None, 2**63 - 1) for i in (2**53 + 1, None)}

@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,18 +93,17 @@ def format_turn(role: str, text: str) -> tuple[str, int, int, str, str]:
 
 
 def format_turns(df: DataFrame) -> DataFrame:
-    """A row per row of ``df`` (conv_id, turn, role, text): its place in the order, rendered text, and what parsing gives back.
+    """A row per row of ``df`` (conv_id, turn, role, text), formatted alone: rendered text, the span of its text there, and what parsing gives back.
 
-    The rendered conversation is the rows' ``rendered`` joined in the order (turn, role, text); its parse is the joined
-    parse, as every turn begins and ends with its own control strings and no text keeps an unescaped one. Null text
-    and null role count as empty, a null turn comes first, a null conv_id is a conversation of its own; repeated rows
-    stay as repeated turns; extra columns are ignored; an empty table gives no rows.
+    Null text and null role count as empty; repeated rows stay as repeated turns; extra columns are ignored; an empty
+    table gives no rows.
     """
 
-    @F.pandas_udf("rendered string, start int, end int, back_role string, back_text string")
+    @F.pandas_udf("rendered string, start int, end int, back_role string, back_text string, escaped boolean")
     def fmt(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = [format_turn(r, t) for r, t in zip(roles, texts, strict=True)]
-        return pd.DataFrame(rows, columns=["rendered", "start", "end", "back_role", "back_text"])
+        out = pd.DataFrame(rows, columns=["rendered", "start", "end", "back_role", "back_text"])
+        return out.assign(escaped=[x[0] != render_turn(r, t, False) for x, r, t in zip(rows, roles, texts, strict=True)])
 
     rows = df.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -114,51 +114,104 @@ def format_turns(df: DataFrame) -> DataFrame:
     return rows.withColumn("f", fmt("role", "text")).select("conv_id", "turn", "role", "text", "f.*")
 
 
-class _Digest:
-    """Running digests of one conversation; the turns themselves aren't kept."""
+def _in_order(turns: DataFrame) -> DataFrame:
+    """The rows of ``format_turns`` by conversation and (turn, role, text); nulls come first."""
+    lean = turns.select("conv_id", "turn", "back_role", "back_text", "escaped")
+    return lean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "back_role", "back_text")
 
-    def __init__(self, conv: object):
-        self.conv, self.n, self.loss, self.chars = conv, 0, 0, 0
+
+class Reader:
+    """Writes a conversation turn by turn and reads it back from what was written: turns, and the text under the loss mask.
+
+    ``add`` takes a turn, puts its rendering at the end of the formatted conversation and parses it there. Every
+    turn begins and ends with its own control strings and no text keeps an unescaped one, so the parse of the whole
+    is the joined parse of its turns, and nothing that was read has to be kept.
+    """
+
+    def __init__(self) -> None:
+        self.n = self.at = self.loss = 0
         self.all, self.learn = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, role: str, text: str, formatted: int) -> None:
-        self.n += 1
-        self.chars += formatted
-        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        if role == "assistant":
-            self.loss += len(text)
-            self.learn.update(text.encode("utf-8", "surrogatepass"))
+    def add(self, role: str, text: str, escaped: bool) -> tuple[str, int, tuple[int, int] | None]:
+        """(rendered, its place, the span under the loss mask) in the formatted conversation."""
+        rendered, base = render_turn(role, text, escaped), self.at
+        turns = parse(rendered)
+        if [t[:2] for t in turns] != [(role, text)]:
+            raise FormatError("a turn doesn't survive the round trip")
+        span = None
+        for back_role, back_text, start, end in turns:
+            self.n += 1
+            self.all.update(f"{back_role}\n{back_text}\n".encode("utf-8", "surrogatepass"))
+            if back_role == "assistant":
+                span = (base + start, base + end)
+                learn = unescape(rendered[span[0] - base : span[1] - base])
+                self.loss += len(learn)
+                self.learn.update(learn.encode("utf-8", "surrogatepass"))
+        self.at += len(rendered)
+        return rendered, base, span
+
+    def digests(self) -> tuple:
+        return self.n, self.all.hexdigest(), self.loss, self.learn.hexdigest(), self.at
+
+
+def _conversations(batch: pa.RecordBatch, now: list) -> Iterator[tuple[int, Reader, tuple[str, str, bool], bool]]:
+    """(row, reader, turn, whether it begins a conversation) of each row; ``now`` holds the last key and reader across batches."""
+    columns = (batch.column(c).to_pylist() for c in ("conv_id", "back_role", "back_text", "escaped"))
+    for k, (conv, *turn) in enumerate(zip(*columns, strict=True)):
+        new = not now or now[0] != conv
+        if new:
+            now[:] = [conv, Reader()]
+        yield k, now[1], tuple(turn), new
+
+
+def format_conversations(df: DataFrame) -> DataFrame:
+    """A row per row of ``df``: conv_id, turn, piece (its number), rendered, at (its place) and loss_start, loss_end (null outside the mask).
+
+    The formatted conversation is its pieces joined in order; places and spans count its characters. A conversation's rows are
+    ordered by (turn, role, text), a null turn first; all rows with a null conv_id are one conversation. Rows stream,
+    so memory doesn't grow with a conversation.
+    """
+    names = ["conv_id", "turn", "piece", "rendered", "at", "loss_start", "loss_end"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list = []
+        for b in batches:
+            rows = []
+            for _, reader, turn, _ in _conversations(b, now):
+                rendered, at, span = reader.add(*turn)
+                rows.append((reader.n - 1, rendered, at, *(span or (None, None))))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), *columns], names=names)
 
-    def row(self) -> tuple:
-        return self.conv, self.n, self.all.hexdigest(), self.loss, self.learn.hexdigest(), self.chars
+    return _in_order(format_turns(df)).mapInArrow(write, "conv_id long, turn long, piece long, rendered string, at long, loss_start long, loss_end long")
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """A row per conversation of ``format_turns``' rows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The loss mask covers the text spans of assistant turns. Rows stream in order through running digests, so memory
-    doesn't grow with a conversation; a digest over a whole conversation is sequential by what it is.
+    All are read from the formatted conversation: turns by parsing it, the loss text by its mask. A digest over a whole
+    conversation is sequential by what it is; turns are formatted before, by rows, and stream through it.
     """
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        now: _Digest | None = None
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list = []
         for b in batches:
-            done = []
-            for conv, is_null, role, text, n in zip(b["conv_id"], b["conv_id"].isna(), b["back_role"], b["back_text"], b["n"], strict=True):
-                key = None if is_null else int(conv)
-                if now is None or now.conv != key:
-                    done += [now.row()] if now else []
-                    now = _Digest(key)
-                now.add(role, text, n)
+            done, last = [], list(now)
+            for _, reader, turn, new in _conversations(b, now):
+                if new and last:
+                    done.append((last[0], *last[1].digests()))
+                reader.add(*turn)
+                last = list(now)
             if done:
-                yield pd.DataFrame(done, columns=columns).astype({"conv_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=columns)
         if now:
-            yield pd.DataFrame([now.row()], columns=columns).astype({"conv_id": "Int64"})
+            row = (now[0], *now[1].digests())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=columns)
 
-    lean = turns.select("conv_id", "turn", "back_role", "back_text", F.length("rendered").alias("n"))
-    ordered = lean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "back_role", "back_text")
-    return ordered.mapInPandas(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(turns).mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

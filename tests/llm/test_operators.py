@@ -291,6 +291,39 @@ def test_bad_renderings_are_refused():
             C.parse(bad)
 
 
+def test_formatted_conversations_read_back_by_mask(spark):
+    rng = random.Random(10)
+    big = [2**53 + 1, None, 2**63 - 1, 2**53 + 3]
+    rows = [(rng.choice(big), i, rng.choice(["user", "assistant", "system", "a[SEP]b"]), rng.choice([*HARD, None])) for i in range(120)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, piece int, at string").coalesce(1)
+    pieces = C.format_conversations(df).collect()
+    digests = {r.conv_id: r for r in C.conversation_digests(C.format_turns(df)).collect()}
+    assert set(digests) == set(big)
+    for conv in big:
+        mine = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        got = sorted((p for p in pieces if p.conv_id == conv), key=lambda p: p.piece)
+        whole = "".join(p.rendered for p in got)
+        assert [t[:2] for t in C.parse(whole)] == mine and [p.at for p in got] == [sum(len(q.rendered) for q in got[:k]) for k in range(len(got))]
+        learn = "".join(C.unescape(whole[p.loss_start : p.loss_end]) for p in got if p.loss_start is not None)
+        assert learn == "".join(t for r, t in mine if r == "assistant")
+        d = digests[conv]
+        assert (d.n_turns, d.loss_chars, d.formatted_chars) == (len(mine), len(learn), len(whole))
+        assert d.loss_sha256 == hashlib.sha256(learn.encode()).hexdigest() and d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+
+
+BIG = [2**53 + 1, None, 2**63 - 1, 2**53 + 3]
+
+
+def test_ids_keep_their_digits(spark):
+    from gridloom.llm.packing import pack_documents
+
+    df = spark.createDataFrame([(i, "some text here " * 20) for i in BIG], "doc_id long, text string").coalesce(1)
+    for got in (Q.quality_report(df), Q.quality_filter(df), J.shard_documents(df), H.simhash_components(df), license_scan(df), pack_documents(df)):
+        assert {r.doc_id for r in got.collect()} <= set(BIG)
+    for got in (Q.quality_report(df), J.shard_documents(df), H.simhash_components(df), pack_documents(df)):
+        assert {r.doc_id for r in got.collect()} == set(BIG)
+
+
 def test_conversations(spark):
     schema = "conv_id long, turn long, role string, text string, rendered string, n int"
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(HARD)] + [(2, None, None, None), (2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (None, 1, "user", "u"), (3, 5, "assistant", "x" * 200_000), (2, 0, "assistant", "a")]

@@ -130,15 +130,15 @@ def item_blocks(items: DataFrame) -> Iterator[Broadcast]:
         yield items.sparkSession.sparkContext.broadcast(found)
 
 
-_MADE: dict[int, Matcher] = {}
+_MADE: list[tuple[list, Matcher]] = []
 
 
 def matcher(block: Broadcast) -> Matcher:
     """A block's matcher, made once per worker; a worker keeps one at a time."""
-    if block.id not in _MADE:
-        _MADE.clear()
-        _MADE[block.id] = Matcher(block.value)
-    return _MADE[block.id]
+    items = block.value
+    if not _MADE or _MADE[0][0] is not items:
+        _MADE[:] = [(items, Matcher(items))]
+    return _MADE[0][1]
 
 
 def _search(block: Broadcast):

@@ -15,7 +15,7 @@ import numpy as np
 
 #: Entries per chunk, and entries that are held in memory; beyond, chunks go to files.
 CHUNK, IN_MEMORY = 1 << 21, 1 << 23
-_COLUMN = np.arange(256, dtype=np.uint8)
+_NONE = np.uint8(255)
 _FIELDS = ("symbol", "entry", "common")
 
 
@@ -64,9 +64,6 @@ class Collection:
         self.codes = len(used) + 1
         self.code = np.zeros(256, np.uint8)
         self.code[used] = np.arange(1, len(used) + 1)
-        self.words = np.ndarray((max(0, len(flat) - 7),), "<u8", flat, 0, (1,))
-        m = match
-        self.offsets = [*range(0, m - 7, 8), m - 8] if m >= 8 else None
 
     def symbols(self, string: np.ndarray, suffix: int) -> np.ndarray:
         """Codes of the symbol before the suffix of that length; 0 where the string ends there."""
@@ -74,62 +71,97 @@ class Collection:
         at = string * self.width + max(0, self.width - suffix - 1)
         return np.where(ended, np.uint8(0), self.code[self.flat[at]])
 
-    def share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether two entries' suffixes have their first ``match`` bytes in common."""
-        la, lb = a & np.uint64(0xFFFF), b & np.uint64(0xFFFF)
-        ok = (la >= self.match) & (lb >= self.match)
-        if not ok.any():
-            return ok
-        w = np.uint64(self.width)
-        pa = ((a[ok] >> np.uint64(16)) * w + w - la[ok]).astype(np.int64)
-        pb = ((b[ok] >> np.uint64(16)) * w + w - lb[ok]).astype(np.int64)
-        same = np.ones(len(pa), bool)
-        if self.offsets is None:
-            for k in range(self.match):
-                same &= self.flat[pa + k] == self.flat[pb + k]
-        else:
-            for k in self.offsets:
-                same &= self.words[pa + k] == self.words[pb + k]
-        ok[ok] = same
-        return ok
-
-
-def _ranks(state: Chunks, places: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One read of the transform: for the entries at ``places`` (ascending) their symbol and how often it stands before, and all counts.
-
-    A chunk is counted in blocks of 256 symbols; what lies before a place in its block is compared directly.
+
+class _Minima:
+    """Least values of ranges of one chunk's common prefixes, by a table of powers of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.rows = [values]
+        width = 1
+        while 2 * width <= len(values):
+            last = self.rows[-1]
+            self.rows.append(np.minimum(last[:-width], last[width:]))
+            width *= 2
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of values[first .. last], both included; _NONE where the range is empty."""
+        size = last - first + 1
+        out = np.full(len(first), _NONE, np.uint8)
+        level = np.zeros(len(first), np.int64)
+        full = size > 0
+        level[full] = np.frexp(size[full].astype(np.float64))[1] - 1
+        for k in np.unique(level[full]):
+            here = np.flatnonzero(full & (level == k))
+            row = self.rows[k]
+            out[here] = np.minimum(row[first[here]], row[last[here] - (1 << int(k)) + 1])
+        return out
+
+
+def _survey(state: Chunks, places: np.ndarray, codes: int, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One read of the transform for the entries at ``places`` (ascending): their symbol, how often it stands before, what the
+    suffixes that grow there will share with the entries before and after them, and the counts of all symbols.
+
+    A suffix cT comes right after cT', where T' is the last entry before T with symbol c; they share one symbol more than T'
+    and T, which share the least common prefix on the way from T' to T. The same holds for the next entry with symbol c. Lengths
+    are cut at ``match``; 0 where no such entry is.
     """
-    seen = np.zeros(codes + 1, np.int64)
-    symbol, rank = np.empty(len(places), np.uint8), np.empty(len(places), np.int64)
+    symbol, left, right = (np.zeros(len(places), np.uint8) for _ in range(3))
+    rank, counts = np.empty(len(places), np.int64), np.zeros(codes + 1, np.int64)
+    seen, since = np.zeros(codes + 1, bool), np.full(codes + 1, _NONE, np.uint8)
+    open_, open_min = np.full(codes + 1, -1), np.full(codes + 1, _NONE, np.uint8)
+    every = np.arange(codes + 1)
     start = done = 0
-    for i in range(len(state)):
-        b = state.read(i)[0]
-        end = np.searchsorted(places, start + len(b))
-        here = places[done:end] - start
-        blocks = -(-len(b) // 256)
-        padded = np.full(blocks * 256, codes, np.uint8)
-        padded[: len(b)] = b
-        square = padded.reshape(blocks, 256)
-        cell = np.add(square, np.arange(0, blocks * (codes + 1), codes + 1)[:, None], dtype=np.int64)
-        counts = np.bincount(cell.reshape(-1), minlength=blocks * (codes + 1)).reshape(blocks, codes + 1)
-        before = np.cumsum(counts, axis=0)
-        for k in range(0, len(here), 4096):
-            h = here[k : k + 4096]
-            s, block, at = b[h], h >> 8, (h & 255).astype(np.uint8)
-            inside = np.count_nonzero((square[block] == s[:, None]) & (_COLUMN < at[:, None]), axis=1)
-            symbol[done + k : done + k + len(h)] = s
-            rank[done + k : done + k + len(h)] = before[block, s] - counts[block, s] + inside + seen[s]
-        if blocks:
-            seen += before[-1]
-        start, done = start + len(b), end
-    return symbol, rank, seen[:codes]
 
+    def grown(x: np.ndarray) -> np.ndarray:
+        return (np.minimum(x, match - 1) + 1).astype(np.uint8)
 
-def _insert(state: Chunks, coll: Collection, before: np.ndarray, symbol: np.ndarray, entry: np.ndarray, spill: bool, prefixes: bool) -> Chunks:
-    """One read and write of the transform: entries go in before the old entries numbered ``before`` (ascending)."""
+    for i in range(len(state)):
+        b, _, c = state.read(i)
+        n = len(b)
+        end = np.searchsorted(places, start + n)
+        here = places[done:end] - start
+        if n:
+            least = _Minima(c)
+            order = np.argsort(b, kind="stable")
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            ordered = b[order]
+            begin, finish = np.searchsorted(ordered, every), np.searchsorted(ordered, every, side="right") - 1
+            there = finish >= begin
+            first, last = order[np.minimum(begin, n - 1)], order[np.maximum(finish, 0)]
+            to_first = np.minimum(open_min, least(np.zeros(codes + 1, np.int64), first))
+            known = np.flatnonzero(there & (open_ >= 0))
+            right[open_[known]] = grown(to_first[known])
+            whole = np.minimum.reduce(c)
+            open_[known] = -1
+            open_min = np.minimum(open_min, whole)
+
+            s, r = b[here], place[here]
+            symbol[done:end], rank[done:end] = s, r - begin[s] + counts[s]
+            begins, ends = r == begin[s], r == finish[s]
+            before = order[np.maximum(r - 1, 0)]
+            inside = least(np.where(begins, 0, before + 1), here)
+            value = np.where(begins, np.minimum(inside, since[s]), inside)
+            left[done:end] = np.where(begins & ~seen[s], 0, grown(value))
+            after = order[np.minimum(r + 1, n - 1)]
+            value = least(here + 1, np.where(ends, n - 1, after))
+            right[done:end] = np.where(ends, 0, grown(value))
+            wait = np.flatnonzero(ends)
+            open_[s[wait]], open_min[s[wait]] = done + wait, value[wait]
+
+            tail = least(last + 1, np.full(codes + 1, n - 1))
+            since = np.where(there, tail, np.minimum(since, whole))
+            seen |= there
+            counts += finish + 1 - begin
+        start, done = start + n, end
+    return symbol, rank, left, right, counts[:codes]
+
+
+def _insert(state: Chunks, before: np.ndarray, symbol: np.ndarray, entry: np.ndarray, left: np.ndarray, right: np.ndarray, spill: bool) -> Chunks:
+    """One read and write of the transform: entries go in before the old entries numbered ``before`` (ascending), with what they
+    share with their neighbours on both sides."""
     out = Chunks(spill)
     start = done = 0
-    last, last_new = None, False
     for i in range(len(state)):
         b, e, c = state.read(i)
         end = len(before) if i == len(state) - 1 else np.searchsorted(before, start + len(b))
@@ -137,43 +169,29 @@ def _insert(state: Chunks, coll: Collection, before: np.ndarray, symbol: np.ndar
         at = before[done:end] - start + np.arange(k)
         old = np.ones(len(b) + k, bool)
         old[at] = False
-        nb, ne, nc = np.empty(len(old), np.uint8), np.empty(len(old), np.uint64), np.zeros(len(old), np.uint8)
-        nb[old], ne[old] = b, e
+        nb, ne, nc = np.empty(len(old), np.uint8), np.empty(len(old), np.uint64), np.zeros(len(old) + 1, np.uint8)
+        nb[old], ne[old], nc[:-1][old] = b, e, c
         nb[at], ne[at] = symbol[done:end], entry[done:end]
-        if prefixes and len(old):
-            nc[old] = c
-            touched = np.zeros(len(old) + 1, bool)
-            touched[at] = touched[at + 1] = True
-            touched[0] |= last_new
-            changed = np.flatnonzero(touched[:-1])
-            left = ne[changed - 1]
-            first = len(changed) and changed[0] == 0
-            if first:
-                left[0] = ne[0] if last is None else last
-            shared = coll.share(left, ne[changed])
-            if first and last is None:
-                shared[0] = False
-            nc[changed] = shared
-        if len(old):
-            last, last_new = ne[-1], not old[-1]
+        nc[at + 1] = right[done:end]
+        nc[at] = left[done:end]
         for a in range(0, max(1, len(old)), CHUNK):
-            out.append(nb[a : a + CHUNK], ne[a : a + CHUNK], nc[a : a + CHUNK])
+            out.append(nb[a : a + CHUNK], ne[a : a + CHUNK], nc[:-1][a : a + CHUNK])
         start, done = start + len(b), end
     state.close()
     return out
 
 
 def build(coll: Collection) -> Chunks:
-    """The transform of all suffixes in order. An entry is string << 16 | suffix length; ``common`` tells whether it shares ``match`` bytes with the entry before."""
+    """The transform of all suffixes in order. An entry is string << 16 | suffix length; ``common`` is how many bytes, at most ``match``, it shares with the entry before."""
     n = coll.n
     strings = np.arange(n)
     state = Chunks(False)
     state.append(coll.symbols(strings, 0), strings.astype(np.uint64) << np.uint64(16), np.zeros(n, np.uint8))
     places, size = strings.copy(), n
     for suffix in range(1, coll.width + 1):
-        symbol, rank, counts = _ranks(state, places, coll.codes)
+        symbol, rank, left, right, counts = _survey(state, places, coll.codes, coll.match)
         alive = symbol > 0
-        strings, symbol, rank = strings[alive], symbol[alive], rank[alive]
+        strings, symbol, rank, left, right = (x[alive] for x in (strings, symbol, rank, left, right))
         if not len(strings):
             break
         below = np.cumsum(counts[1:]) - counts[1:]
@@ -182,7 +200,7 @@ def build(coll: Collection) -> Chunks:
         places, strings = to[order], strings[order]
         size += len(places)
         entry = strings.astype(np.uint64) << np.uint64(16) | np.uint64(suffix)
-        state = _insert(state, coll, places - np.arange(len(places)), coll.symbols(strings, suffix), entry, size > IN_MEMORY, suffix >= coll.match)
+        state = _insert(state, places - np.arange(len(places)), coll.symbols(strings, suffix), entry, left[order], right[order], size > IN_MEMORY)
     return state
 
 
@@ -208,7 +226,7 @@ def least_owner(coll: Collection, owner: np.ndarray) -> np.ndarray:
     if not len(e):
         return out
     string, suffix = (e >> np.uint64(16)).astype(np.int64), (e & np.uint64(0xFFFF)).astype(np.int64)
-    starts = np.flatnonzero(c == 0)
+    starts = np.flatnonzero(c < coll.match)
     low = np.minimum.reduceat(owner[string], starts)
     out[string, coll.lengths[string] - suffix] = np.repeat(low, np.diff(np.r_[starts, len(e)]))
     return out

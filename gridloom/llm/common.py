@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -46,7 +45,12 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")  # the shuffle files of a written table are of no more use
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -55,13 +59,6 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def free_shuffles(self) -> None:
-        """Let Spark's context cleaner delete shuffle files of finished steps now instead of at the next full GC."""
-        for _ in range(2):  # handles that Python lets go reach the JVM a moment later
-            gc.collect()
-            time.sleep(0.5)
-            self.spark._jvm.System.gc()
-
 
 def words_of(text: str | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8; bytes.split() cuts at exactly these six characters."""

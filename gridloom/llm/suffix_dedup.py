@@ -3,10 +3,12 @@
 Windows of ``MATCH`` bytes are compared through anchors: the positions whose 16-byte hash is least in some window. Equal
 windows have equal anchors, so only the surroundings of anchors need to meet:
 
-1. Documents are dealt into blocks by doc_id. A block sends each of its anchors once (hash of the anchor and of the two
-   33-byte strings around it, one of which every window at the anchor contains) to buckets by anchor hash.
-2. A bucket marks the anchors of which a 33-byte surrounding lies in more than one document.
-3. Blocks cut the segment of all windows at each marked anchor, and send each distinct segment once with its least doc_id.
+1. Documents are dealt into blocks by doc_id; a block is written once, as compressed Arrow rows, and read from there afterwards.
+2. A block sends each of its anchors once (hash of the anchor and of the two 33-byte strings around it, one of which
+   every window at the anchor contains) to buckets by anchor hash. A bucket marks the anchors of which a 33-byte
+   surrounding lies in more than one document, and those that are hot: with more than HOT surroundings.
+3. Blocks cut the segment of all windows at each marked anchor, and send each distinct segment once with its least doc_id;
+   the windows of hot anchors go one by one, each to the bucket of its own hash, so that no anchor is bound to one task.
 4. A bucket builds the transform of its distinct segments; runs of suffixes that share MATCH bytes are equal windows, and
    the least doc_id of a run is the document that keeps the string. Each block gets its windows' verdicts back.
 5. Blocks remove what the windows of smaller documents cover.
@@ -23,9 +25,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bwt import Collection, least_owner
 from .common import Scratch
@@ -34,8 +40,10 @@ MATCH, GRAM = 50, 16
 WINDOWS = MATCH - GRAM + 1  # windows at an anchor: starts from 34 bytes before it up to it
 HALF = WINDOWS // 2
 SIDE = GRAM + HALF
-#: Bytes of text in a block at least, strings in one transform at most (a single anchor's segments stay together).
-BLOCK_BYTES, COLLECTION = 4_000_000, 8192
+#: Bytes of text in a block at least and at most, buckets at most, strings in one transform at most (one anchor's stay together).
+BLOCK_BYTES, MOST_BYTES, BUCKETS, COLLECTION = 4_000_000, 64_000_000, 1 << 18, 8192
+#: Distinct surroundings, over all blocks, from which an anchor's windows are dealt out one by one.
+HOT = 20_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _SHIFT = np.uint64(32)
 
@@ -90,13 +98,33 @@ def _anchors(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, text, gram[at], left, right
 
 
+def _pack(part_bytes: int):
+    """A block's rows in order of (doc_id, text), as compressed Arrow of about ``part_bytes`` of text each."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+        rows = table.drop_columns(["_block"]).take(order)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy().astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // part_bytes)) + 1).tolist(), len(rows)]
+        out = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(rows.slice(i, j - i).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        number = table.column("_block")[0].as_py()
+        return pa.table({"_block": pa.array([number] * len(out), pa.int32()), "part": pa.array(range(len(out)), pa.int32()), "data": pa.array(out, pa.binary())})
+
+    return pack
+
+
 class Block:
     """The documents of a block in order of (doc_id, text), and its distinct anchors in a fixed order."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        self.rows = pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")
-        self.docs = self.rows["doc_id"].to_numpy(np.int64)
-        self.texts = [t.encode("utf-8", "surrogatepass") for t in self.rows["text"]]
+    def __init__(self, parts: list[tuple[int, bytes]]):
+        self.rows = pa.concat_tables([pa.ipc.open_stream(data).read_all() for _, data in sorted(parts)])
+        self.docs = self.rows.column("doc_id").to_numpy()
+        self.texts = pc.fill_null(self.rows.column("text").cast(pa.binary()), b"").to_pylist()
 
     def chunks(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
         """(first document, buffer, starts) of runs of documents of about BLOCK_BYTES together."""
@@ -134,14 +162,16 @@ class Block:
 
 
 def _splits(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+    if not len(bucket):
+        return
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
         yield int(bucket[a]), int(a), int(b)
 
 
 def _send_anchors(buckets: int):
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf)
+        block = Block(list(zip(pdf["part"], pdf["data"], strict=True)))
         occ = block.occurrences()
         first, many, bucket, _ = block.distinct(occ, buckets)
         key = np.stack([occ[2][first], occ[3][first], occ[4][first]], axis=1)
@@ -161,53 +191,64 @@ def _in_two(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mark_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-    parts = [np.frombuffer(x, np.uint32).reshape(-1, 3) for x in pdf["anchors"]]
-    sizes = [len(p) for p in parts]
-    key = np.concatenate(parts).astype(np.uint64)
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["many"], sizes, strict=True)])
-    marked = np.zeros(len(key), bool)
-    for c in (1, 2):
-        marked |= _in_two(key[:, 0] << _SHIFT | key[:, c], many) & (key[:, c] > 0)
-    ends = np.cumsum(sizes)
-    out = [np.packbits(marked[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
-    return pd.DataFrame({"_block": pdf["_block"], "bucket": pdf["bucket"], "n": sizes, "marked": out})
+def _mark_anchors(hot: int):
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.uint32).reshape(-1, 3) for x in pdf["anchors"]]
+        sizes = [len(p) for p in parts]
+        key = np.concatenate(parts).astype(np.uint64)
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["many"], sizes, strict=True)])
+        marked = np.zeros(len(key), bool)
+        for c in (1, 2):
+            marked |= _in_two(key[:, 0] << _SHIFT | key[:, c], many) & (key[:, c] > 0)
+        _, inverse, counts = np.unique(key[marked, 0], return_inverse=True, return_counts=True)
+        state = marked.astype(np.uint8)
+        state[marked] += (counts > hot)[inverse]
+        ends = np.cumsum(sizes)
+        return pd.DataFrame({"_block": pdf["_block"], "bucket": pdf["bucket"], "n": sizes, "marked": [zstandard.compress(state[e - n : e].tobytes(), 1) for e, n in zip(ends, sizes, strict=True)]})
+
+    return mark
 
 
 def _cut_segments(buckets: int):
     """Rows for buckets (kind 0: distinct segments) and for the block itself (kind 1: where its segments lie)."""
+    columns = ["bucket", "_block", "kind", "n", "data"]
 
     def cut(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "_block", "kind", "n", "data"]
         if not len(docs):
             return pd.DataFrame([], columns=columns)
         number = int(docs["_block"].iat[0])
-        block = Block(docs)
+        block = Block(list(zip(docs["part"], docs["data"], strict=True)))
         occ = block.occurrences()
         first, _, bucket, inverse = block.distinct(occ, buckets)
-        marked = np.zeros(len(first), bool)
+        state = np.zeros(len(first), np.uint8)
         got = dict(zip(marks["bucket"], zip(marks["n"], marks["marked"], strict=True), strict=True))
         for b, i, j in _splits(bucket):
-            n, bits = got[b]
+            n, data = got[b]
             if n != j - i:
                 raise RuntimeError("the documents of a block changed between two reads")
-            marked[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        chosen = np.flatnonzero(marked[inverse])
-        doc, at, anchor = (x[chosen] for x in occ[:3])
+            state[i:j] = np.frombuffer(zstandard.decompress(data), np.uint8)
+        occ_state = state[inverse]
+        chosen = np.flatnonzero(occ_state)
+        cuts: dict[int, list] = {}
+        for d, p, anchor, hot in zip(*(x[chosen].tolist() for x in occ[:3]), (occ_state[chosen] > 1).tolist(), strict=True):
+            text, start = block.texts[d], max(0, p - WINDOWS + 1)
+            segment = text[start : p + MATCH]
+            if not hot:
+                cuts.setdefault(anchor % buckets, []).append((d, start, anchor, segment))
+                continue
+            for k in range(len(segment) - MATCH + 1):
+                window = segment[k : k + MATCH]
+                name = xxhash.xxh32_intdigest(window)
+                cuts.setdefault(name % buckets, []).append((d, start + k, name, window))
         rows, places = [], []
-        by_bucket = np.argsort(anchor % np.uint32(buckets), kind="stable")
-        docs_l, at_l, anchor_l = doc[by_bucket].tolist(), at[by_bucket].tolist(), anchor[by_bucket].tolist()
-        for b, i, j in _splits((anchor % np.uint32(buckets))[by_bucket].astype(np.int64)):
+        for b in sorted(cuts):
             seen: dict[tuple[int, bytes], int] = {}
             owner: list[int] = []
-            for k in range(i, j):
-                d, p = docs_l[k], at_l[k]
-                before = min(p, WINDOWS - 1)
-                segment = block.texts[d][p - before : p + MATCH]
-                s = seen.setdefault((anchor_l[k], segment), len(seen))
+            for d, start, anchor, segment in cuts[b]:
+                s = seen.setdefault((anchor, segment), len(seen))
                 if s == len(owner):
                     owner.append(d)  # anchors come in order of doc_id: the first is the least
-                places.append((b, d, p, s))
+                places.append((b, d, start, s, len(segment) - MATCH + 1))
             head = struct.pack("<q", len(seen))
             anchors = np.fromiter((k[0] for k in seen), np.uint32, len(seen)).tobytes()
             sizes = np.fromiter((len(k[1]) for k in seen), np.uint8, len(seen)).tobytes()
@@ -273,35 +314,42 @@ def _judge_segments(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_block": pdf["_block"], "bucket": pdf["bucket"], "owners": [own.tobytes() for _, own in parts], "masks": masks})
 
 
-def _removed(block: Block, verdicts: pd.DataFrame, places: pd.DataFrame) -> list[np.ndarray]:
-    """Which bytes of each of a block's documents are removed: those under a window that a smaller document has too."""
+def _removed(block: Block, found: pa.Table) -> Iterator[np.ndarray]:
+    """For each of a block's documents, in order, which bytes are removed: those under a window that a smaller document has too.
+
+    ``found`` holds the verdicts (bucket, owners, masks) and the places (n, data) of the block's segments.
+    """
     lengths = np.fromiter(map(len, block.texts), np.int64, len(block.texts))
-    base = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-    first = np.zeros(int(base[-1]) + 1, np.int32)
-    first_of, owners, masks = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    n = 0
-    for b, o, m in zip(verdicts["bucket"], verdicts["owners"], verdicts["masks"], strict=True):
-        first_of[b] = n
-        owners.append(np.frombuffer(o, np.int64))
-        masks.append(np.frombuffer(m, np.uint64))
-        n += len(owners[-1])
+    first_of, owners, masks, places, n = {}, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((5, 0), np.int64)], 0
+    for r in found.to_pylist():
+        if r["bucket"] >= 0:
+            first_of[r["bucket"]] = n
+            owners.append(np.frombuffer(r["owners"], np.int64))
+            masks.append(np.frombuffer(r["masks"], np.uint64))
+            n += len(owners[-1])
+        else:
+            raw = zstandard.decompress(r["data"])
+            places.append(np.frombuffer(raw, "<i4" if len(raw) == 20 * r["n"] else "<i8").reshape(5, r["n"]).astype(np.int64))
     owner, mask = np.concatenate(owners), np.concatenate(masks)
-    for n, data in zip(places["n"], places["data"], strict=True):
-        raw = zstandard.decompress(data)
-        b, who, at, seg = np.frombuffer(raw, "<i4" if len(raw) == 16 * n else "<i8").reshape(4, n).astype(np.int64)
-        for number, i, j in _splits(b):
-            seg[i:j] += first_of[number]
-        before = np.minimum(at, WINDOWS - 1)
-        at = at - before
-        later, bits, room = block.docs[who] > owner[seg], mask[seg], np.minimum(before, lengths[who] - MATCH - at)
+    b, who, at, seg, windows = np.concatenate(places, axis=1)
+    for number, i, j in _splits(b):
+        seg[i:j] += first_of[number]
+    order = np.argsort(who, kind="stable")
+    who, at, seg, windows = who[order], at[order], seg[order], windows[order]
+    for first_doc, buffer, starts in block.chunks():
+        i, j = np.searchsorted(who, [first_doc, first_doc + len(starts) - 1])
+        w, base = who[i:j], starts[who[i:j] - first_doc] + at[i:j]
+        hit_first = np.zeros(len(buffer) + 1, np.int32)
+        later, bits = block.docs[w] > owner[seg[i:j]], mask[seg[i:j]]
         for k in range(WINDOWS):
-            hit = (later | ((bits >> np.uint64(k)) & np.uint64(1) > 0)) & (room >= k)
-            first[(base[who] + at + k)[hit]] = 1
-    # A byte is covered if one of the MATCH windows that end at it or after it was hit.
-    total = np.cumsum(first[:-1], dtype=np.int64)
-    total[MATCH:] -= total[:-MATCH].copy()
-    flat = total > 0
-    return [flat[a:z] for a, z in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+            hit = (later | ((bits >> np.uint64(k)) & np.uint64(1) > 0)) & (windows[i:j] > k)
+            hit_first[(base + k)[hit]] = 1
+        # A byte is covered if one of the MATCH windows that end at it or after it was hit; windows end within their document.
+        total = np.cumsum(hit_first[:-1])
+        total[MATCH:] -= total[:-MATCH].copy()
+        flat = total > 0
+        for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield flat[x:y]
 
 
 def _digest(doc: int | None, text: bytes, gone: np.ndarray | None) -> tuple:
@@ -313,48 +361,41 @@ def _digest(doc: int | None, text: bytes, gone: np.ndarray | None) -> tuple:
 
 
 class RepeatedStrings:
-    """Steps 1 to 4 for a table of documents; ``apply`` runs step 5 with a function of a block's documents and their removed bytes."""
+    """Steps 1 to 4 for the rows of ``df`` with a doc_id; ``apply`` runs step 5. Columns ``carried`` travel with the rows."""
 
-    def __init__(self, df: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES):
+    def __init__(self, df: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES, carried: tuple[Column, ...] = (), hot: int = HOT):
         spark = df.sparkSession
         self.scratch = scratch or Scratch(spark, "suffix-dedup")
-        docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+        docs = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
         total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
-        # As many buckets as blocks; blocks grow with the root of the input, so that a block's share of a bucket stays worth a row.
-        self.blocks = max(1, -(-total // max(block_bytes, int((576 * total) ** 0.5))))
-        self.key = F.pmod(F.xxhash64("doc_id"), F.lit(self.blocks)).cast("int").alias("_block")
-        self.docs = docs.select(self.key, "doc_id", "text")
-        if self.blocks > 1:
-            self.docs = self.docs.repartition(self.blocks, "_block")
-        anchors = self.docs.groupBy("_block").applyInPandas(_send_anchors(self.blocks), "bucket int, _block int, anchors binary, many binary")
-        marks = anchors.groupBy("bucket").applyInPandas(_mark_anchors, "_block int, bucket int, n long, marked binary")
-        marks = self.scratch.table(marks, "marks")
-        del anchors
-        self.scratch.free_shuffles()
-        cut = self.docs.groupBy("_block").cogroup(marks.groupBy("_block")).applyInPandas(_cut_segments(self.blocks), "bucket int, _block int, kind int, n long, data binary")
+        # As many buckets as blocks, up to BUCKETS; blocks grow with the root of the input, up to MOST_BYTES, so that a block's
+        # share of a bucket stays worth a row.
+        blocks = max(1, -(-total // max(block_bytes, min(MOST_BYTES, int((576 * total) ** 0.5)))))
+        buckets = min(blocks, BUCKETS)
+        docs = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "_block")
+        self.blocks = self.scratch.table(docs.groupBy("_block").applyInArrow(_pack(min(block_bytes, BLOCK_BYTES)), "_block int, part int, data binary"), "blocks")
+        anchors = self.blocks.groupBy("_block").applyInPandas(_send_anchors(buckets), "bucket int, _block int, anchors binary, many binary")
+        marks = self.scratch.table(anchors.groupBy("bucket").applyInPandas(_mark_anchors(hot), "_block int, bucket int, n long, marked binary"), "marks")
+        cut = self.blocks.groupBy("_block").cogroup(marks.groupBy("_block")).applyInPandas(_cut_segments(buckets), "bucket int, _block int, kind int, n long, data binary")
         self.segments = self.scratch.table(cut, "segments")
         self.scratch.drop(marks)
-        del cut
-        self.scratch.free_shuffles()
         verdicts = self.segments.where("kind = 0").select("bucket", "_block", "data").groupBy("bucket").applyInPandas(_judge_segments, "_block int, bucket int, owners binary, masks binary")
         self.verdicts = self.scratch.table(verdicts, "verdicts")
-        del verdicts
-        self.scratch.free_shuffles()
 
-    def apply(self, docs: DataFrame, function: Callable[[Block, list[np.ndarray]], pd.DataFrame], schema) -> DataFrame:
-        """``docs`` are the rows with a doc_id, with _block and any other columns; ``function`` gets each block and its removed bytes."""
+    def apply(self, function: Callable[[Block, Iterator[np.ndarray]], pa.Table], schema: str | StructType) -> DataFrame:
+        """``function`` gets each block and its documents' removed bytes."""
         none = F.lit(None).cast("binary")
         places = self.segments.where("kind = 1").select("_block", F.lit(-1).alias("bucket"), "n", "data", none.alias("owners"), none.alias("masks"))
         verdicts = self.verdicts.select("_block", "bucket", F.lit(0).cast("long").alias("n"), none.alias("data"), "owners", "masks")
 
-        def remove(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-            block = Block(rows)
-            return function(block, _removed(block, found[found["bucket"] >= 0], found[found["bucket"] < 0]))
+        def remove(rows: pa.Table, found: pa.Table) -> pa.Table:
+            block = Block(list(zip(rows.column("part").to_pylist(), rows.column("data").to_pylist(), strict=True)))
+            return function(block, _removed(block, found))
 
-        return docs.groupBy("_block").cogroup(places.unionByName(verdicts).groupBy("_block")).applyInPandas(remove, schema)
+        return self.blocks.groupBy("_block").cogroup(places.unionByName(verdicts).groupBy("_block")).applyInArrow(remove, schema)
 
 
-def remove_repeats(df: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """A row per row of ``df`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id; strings are judged
@@ -362,16 +403,16 @@ def remove_repeats(df: DataFrame, scratch: Scratch | None = None, block_bytes: i
     neither loses bytes nor takes any; rows with the same doc_id don't take from each other; extra columns are ignored;
     an empty table gives no rows.
     """
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    work = RepeatedStrings(df, scratch, block_bytes)
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
-    def digest(block: Block, gone: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame([_digest(d, t, g) for d, t, g in zip(block.docs.tolist(), block.texts, gone, strict=True)], columns=columns)
+    def digest(block: Block, gone: Iterator[np.ndarray]) -> pa.Table:
+        rows = [_digest(d, t, g) for d, t, g in zip(block.docs.tolist(), block.texts, gone, strict=True)]
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds.items())})
 
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     nameless = df.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"))
-    return work.apply(work.docs, digest, schema).unionByName(nameless)
+    work = RepeatedStrings(df, scratch, block_bytes, hot=hot)
+    return work.apply(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").unionByName(nameless)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,24 +423,26 @@ def dedup_texts(df: DataFrame, scratch: Scratch | None = None, block_bytes: int
     """``df`` with all its columns and rows; ``text`` is what ``remove_repeats`` keeps, ``n_chars`` (if there) its length.
 
     Bytes of a character that was only partly removed go with it. Rows without doc_id, and rows that lose nothing,
-    stay as they are.
+    stay as they are. All other columns travel in one struct, so their names don't matter.
     """
-    work = RepeatedStrings(df, scratch, block_bytes)
     names = df.columns
+    row = F.struct(*[F.col(f"`{n}`") for n in names if n != "text"]).alias("row")
 
-    def shorten(block: Block, gone: list[np.ndarray]) -> pd.DataFrame:
-        out = block.rows[names].copy()
-        texts = list(out["text"])
+    def shorten(block: Block, gone: Iterator[np.ndarray]) -> pa.Table:
+        texts, cut = block.rows.column("text").to_pylist(), []
         for k, (t, g) in enumerate(zip(block.texts, gone, strict=True)):
-            if g.any():
+            cut.append(bool(g.any()))
+            if cut[-1]:
                 texts[k] = np.frombuffer(t, np.uint8)[~g].tobytes().decode("utf-8", "ignore")
-        out["text"] = texts
-        if "n_chars" in names:
-            out["n_chars"] = [n if not g.any() else len(t) for n, t, g in zip(out["n_chars"], texts, gone, strict=True)]
-        return out
-
-    rows = df.where("doc_id IS NOT NULL").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "_block": work.key})
-    if work.blocks > 1:
-        rows = rows.repartition(work.blocks, "_block")
-    schema = rows.select(*names).schema
-    return work.apply(rows, shorten, schema).unionByName(df.where("doc_id IS NULL").select(*[F.col(f.name).cast(f.dataType) for f in schema]))
+        return pa.table([block.rows.column("row").combine_chunks(), pa.array(texts, pa.string()), pa.array(cut, pa.bool_())], names=["row", "text", "cut"])
+
+    shape = df.select(row, F.col("text").cast("string").alias("text"), F.lit(False).alias("cut")).schema
+    rows = RepeatedStrings(df, scratch, block_bytes, (row,)).apply(shorten, shape)
+
+    def column(n: str) -> Column:
+        if n == "text":
+            return F.col("text")
+        c = F.col(f"row.`{n}`")
+        return F.when(F.col("cut"), F.length("text").cast(df.schema[n].dataType)).otherwise(c).alias(n) if n == "n_chars" else c.alias(n)
+
+    return rows.select(*map(column, names)).unionByName(df.where("doc_id IS NULL").withColumn("text", F.col("text").cast("string")))

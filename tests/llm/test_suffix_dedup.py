@@ -84,3 +84,28 @@ def test_very_long_text(spark):
     data = [(2, t), (1, t[1000:500_000]), (3, "short")]
     got = {r[0]: r for r in rows_of(S.remove_repeats(spark.createDataFrame([(d, x, "", 1, 1) for d, x in data], SCHEMA)))}
     assert got[1][2] == 0 and got[2][2] == 499_000 and got[2][3] == 1
+
+
+@pytest.mark.parametrize("rows", [[(1, "some text here"), (2, "x y")], [(1, None), (2, "")], [(None, None), (None, "a" * 80)], [(1, "b" * 49), (2, "b" * 49)], [(2**53 + 1, "é" * 60), (None, "é" * 60), (2**63 - 1, "é" * 60)]])
+def test_short_empty_and_large_ids(spark, rows):
+    df = spark.createDataFrame([(d, t, "x", 1, None) for d, t in rows], SCHEMA).coalesce(1)
+    assert rows_of(S.remove_repeats(df)) == sorted(brute(rows), key=repr)
+    out = S.dedup_texts(df)
+    assert out.columns == df.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((d is None, d or 0) for d, _ in rows)
+
+
+def test_hot_anchors_and_small_chunks(spark):
+    """Windows of hot anchors are dealt out one by one; blocks of several parts."""
+    data = corpus(7, 80)
+    p = "a line that very many documents share, longer than any window of bytes is. "
+    data += [(1000 + i, p + f"tail {i * 7919} {'z' * (i % 50)} {i}") for i in range(60)]
+    df = spark.createDataFrame([(d, t, "x", 1, 3) for d, t in data], SCHEMA).repartition(3)
+    want = sorted(brute(data), key=repr)
+    assert rows_of(S.remove_repeats(df, block_bytes=900, hot=3)) == want == rows_of(S.remove_repeats(df, block_bytes=3_000))
+
+
+def test_clashing_names(spark):
+    p = "this passage is repeated across documents and is much longer than fifty bytes é"
+    df = spark.createDataFrame([(1, p, 77, 2**53 + 1, "a.b"), (2, "x " + p, 88, None, None)], "doc_id long, text string, _block int, row long, `cut` string")
+    out = {r.doc_id: r for r in S.dedup_texts(df).collect()}
+    assert (out[1]["_block"], out[1]["row"], out[2]["_block"], out[2]["row"], out[2].text) == (77, 2**53 + 1, 88, None, "x ")

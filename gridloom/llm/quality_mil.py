@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +16,13 @@ PASSAGE_WORDS = 64
 TRAIN_ROWS, TRAIN_BYTES = {0: 2000, 1: 4000}, 200_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 8, 40, 64, 0.01, 1e-4, 20240
 THRESHOLD = 0.3
+#: Passages per call of the model.
+BATCH_PASSAGES = 4096
 _SPACES = (9, 10, 11, 12, 13, 32)
 _CLASSES = 8
+#: Bins that a passage's words are hashed into, and how much their inputs are damped.
+HASHED = 128
+TOKEN_DAMP = 5
 
 
 def _table() -> np.ndarray:
@@ -34,14 +38,32 @@ def _table() -> np.ndarray:
 
 
 _CLASS = _table()
-FEATURES = _CLASSES + 5
+FEATURES = _CLASSES + 5 + HASHED
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_bins(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A bin 0 .. HASHED - 1 for each word data[begin:end] (A-Z lowered): a polynomial in its bytes, from sums over the whole text."""
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64) + np.uint64(1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * _powers(_STEP, len(data)), dtype=np.uint64)])
+    h = (sums[ends] - sums[begins]) * _powers(_BACK, len(data) + 1)[begins]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(HASHED)).astype(np.int64)
 
 
 def passages(text: str | None) -> np.ndarray:
     """A row of features for each passage of PASSAGE_WORDS words (the last may be shorter); one row for a text without words.
 
     Shares of character classes among the passage's characters, mean word length, shares of distinct words in the
-    passage and of words equal to the one before, words per line end, and how full the passage is.
+    passage and of words equal to the one before, words per line end, how full the passage is, and the shares of its
+    words in HASHED bins.
     """
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     words = raw.split()
@@ -71,6 +93,11 @@ def passages(text: str | None) -> np.ndarray:
     out[:, _CLASSES + 2] = twins / total
     out[:, _CLASSES + 3] = lines / total
     out[:, _CLASSES + 4] = total / PASSAGE_WORDS
+    ends = np.flatnonzero((kind[1:] == 0) & (kind[:-1] > 0)) + 1
+    if kind[-1] > 0:
+        ends = np.append(ends, len(data))
+    bins = word_bins(data, begins, ends) + HASHED * (np.arange(len(begins)) // PASSAGE_WORDS)
+    out[:, _CLASSES + 5 :] = np.bincount(bins, minlength=n * HASHED).reshape(n, HASHED) / total[:, None]
     return out
 
 
@@ -133,7 +160,9 @@ def train(bags: list[np.ndarray], y: np.ndarray) -> AttentionModel:
     """Adam on the mean log loss, in an order that a fixed seed decides. Without bags of both labels the model gives their mean."""
     rng = np.random.default_rng(SEED)
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((1, FEATURES))
-    model = AttentionModel.fresh(x.mean(axis=0), x.std(axis=0) + 1e-3, rng)
+    std = x.std(axis=0) + 1e-3
+    std[FEATURES - HASHED :] *= TOKEN_DAMP  # many weak inputs: they start small against the others, so that few rows don't overfit them
+    model = AttentionModel.fresh(x.mean(axis=0), std, rng)
     if not bags or y.min() == y.max():
         model.p["c"][:] = 0
         model.p["d"][:] = 0.0 if not bags else (4.0 if y.min() == 1 else -4.0)
@@ -161,14 +190,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """Learns from a bounded sample of labelled rows outside fold 0; only their passage features reach the driver."""
     sample = sample_labelled(docs, labels, "quality", TRAIN_ROWS, TRAIN_BYTES)
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "target": b["target"], "x": [passages(t).tobytes() for t in b["text"]]})
+    @F.pandas_udf("binary")
+    def bags(texts: pd.Series) -> pd.Series:
+        return pd.Series([passages(t).tobytes() for t in texts], dtype=object)
 
-    rows = sorted(sample.mapInPandas(bags, "doc_id long, target int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    rows = sorted(sample.select("doc_id", "target", bags("text").alias("x")).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     return train([np.frombuffer(bytes(r.x), np.float32).reshape(-1, FEATURES) for r in rows], np.array([r.target for r in rows], float))
 
 
+def score_bags(model: AttentionModel, bags: list[np.ndarray]) -> list[tuple[float, int, int]]:
+    """(score, predicted, passage of most weight) of each bag."""
+    starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
+    s, m = model.forward(np.concatenate(bags).astype(np.float64), starts)
+    tops = [int(m["a"][i : i + len(b)].argmax()) for i, b in zip(starts.tolist(), bags, strict=True)]
+    return [(float(x), int(x >= THRESHOLD), t) for x, t in zip(s, tops, strict=True)]
+
+
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted, top_passage (the passage of most weight).
 
@@ -176,19 +213,19 @@ def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
     scored each; extra columns are ignored; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                s, m = model.forward(passages(text if isinstance(text, str) else None).astype(np.float64), np.zeros(1, np.int64))
-                rows.append((float(s[0]), int(s[0] >= THRESHOLD), int(m["a"].argmax())))
-            out = pd.DataFrame(rows, columns=["score", "predicted", "top_passage"])
-            out.insert(0, "held_out", b["held_out"].to_numpy())
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, top_passage int")
+    @F.pandas_udf("score double, predicted int, top_passage int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out, bags = [], []
+        # One call of the model for many documents, and never for more than about BATCH_PASSAGES passages and the last document's.
+        for k, text in enumerate(texts):
+            bags.append(passages(text if isinstance(text, str) else None))
+            if sum(map(len, bags)) >= BATCH_PASSAGES or k == len(texts) - 1:
+                out += score_bags(model, bags)
+                bags = []
+        return pd.DataFrame(out, columns=["score", "predicted", "top_passage"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), run(F.col("text").cast("string")).alias("s"))
+    return rows.select("doc_id", "held_out", "s.*")
 
 
 def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +17,12 @@ from .labelled import FOLDS, fold, sample_labelled
 TRAIN_ROWS, TRAIN_BYTES = {0: 4500, 1: 1500}, 32_768
 PREFIXES = (4, 5, 6, 7)
 TERMS, MIN_ROWS = 512, 4
-#: Order of the chain. ``severe`` and ``mild`` split the toxic rows by how dense their telling words are.
-CATEGORIES = ("severe", "mild", "toxic")
+#: Order of the chain. The labels have one toxic column; its rows are split by the documents' language, which no model reads.
+MAIN_LANG, CATEGORIES = "en", ("toxic_en", "toxic_other", "toxic")
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
+#: Most tokens whose terms a worker remembers.
+REMEMBERED = 200_000
 
 
 def word_counts(text: str | None) -> Counter:
@@ -33,12 +34,17 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def choose_terms(counts: list[Counter], y: np.ndarray, limit: int = TERMS) -> list[str]:
-    """The terms whose presence tells most of the label (signed root of the likelihood ratio), in a fixed order."""
-    pos, neg = Counter(), Counter()
+def presence(counts: list[Counter], y: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many rows of either label (1, 0) each term stands."""
+    found = (Counter(), Counter())
     for c, t in zip(counts, y, strict=True):
-        (pos if t else neg).update({x for w in c for x in terms_of(w)})
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+        found[0 if t else 1].update({x for w in c for x in terms_of(w)})
+    return found
+
+
+def choose_terms(pos: Counter, neg: Counter, n1: int, n0: int, limit: int = TERMS) -> list[str]:
+    """The terms whose presence tells most of the label (signed root of the likelihood ratio), in a fixed order."""
+    n1, n0 = max(1, n1), max(1, n0)
     scored = []
     for t, a in pos.items():
         b = neg.get(t, 0)
@@ -58,18 +64,34 @@ class Vocabulary:
         self.starts = [(n, {t[:-1] for t in self.terms if t.endswith("*") and len(t) == n + 1}) for n in PREFIXES]
         self.starts = [(n, s) for n, s in self.starts if s]
 
-    def row(self, counts: Counter) -> np.ndarray:
-        """log(1 + occurrences) of each term, and the logs of the hits' share among all words and of their number."""
-        x = np.zeros(len(self.terms) + 2, np.float32)
-        hits = 0
-        for w, n in counts.items():
-            found = [self.at[w]] if w in self.words else []
-            found += [self.at[w[:k] + "*"] for k, s in self.starts if len(w) > k and w[:k] in s]
-            if found:
-                hits += n
-                x[found] += n
-        total = sum(counts.values())
-        x[-2], x[-1] = 100 * hits / total if total else 0, hits
+        self.known: dict[str, tuple[int, tuple[tuple[int, ...], ...]]] = {}
+
+    def hits(self, word: str) -> tuple[int, ...]:
+        """The numbers of a word's terms that are in the vocabulary."""
+        return (*((self.at[word],) if word in self.words else ()), *(self.at[word[:k] + "*"] for k, s in self.starts if len(word) > k and word[:k] in s))
+
+    def token(self, token: str) -> tuple[int, tuple[tuple[int, ...], ...]]:
+        """How many words a token between spaces has, and the hits of those that have any; remembered, as tokens recur."""
+        got = self.known.get(token)
+        if got is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            words = _WORD.findall(token)
+            got = self.known[token] = len(words), tuple(h for h in map(self.hits, words) if h)
+        return got
+
+    def rows(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: log(1 + occurrences) of each term, and the logs of the hits' share among all words and of their number."""
+        x = np.zeros((len(texts), len(self.terms) + 2), np.float32)
+        for row, text in zip(x, texts, strict=True):
+            total = n_hits = 0
+            for token, n in Counter(text.lower().split()).items() if text else ():
+                words, found = self.token(token)
+                total += n * words
+                for h in found:
+                    n_hits += n
+                    row[list(h)] += n
+            row[-2], row[-1] = 100 * n_hits / total if total else 0, n_hits
         return np.log1p(x)
 
 
@@ -80,8 +102,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
     if n == 0 or y.min() == y.max():
         w[-1] = -6.0 if n == 0 or y.max() == 0 else 6.0
         return w
-    x1 = np.hstack([x.astype(np.float64), np.ones((n, 1))])
-    v = np.ones(k + 1)
+    x1 = np.hstack([x.astype(np.float32), np.ones((n, 1), np.float32)])
+    v = np.ones(k + 1, np.float32)
     for _ in range(12):
         v = x1.T @ (x1 @ v)
         v /= np.linalg.norm(v)
@@ -90,8 +112,8 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
     ridge = np.append(np.full(k, penalty), 0.0)
     look, last = w.copy(), w.copy()
     for t in range(rounds):
-        p = 0.5 * (1 + np.tanh(0.5 * (x1 @ look)))
-        w = look - rate * (x1.T @ (p - y) / n + ridge * look)
+        p = 0.5 * (1 + np.tanh(0.5 * (x1 @ look.astype(np.float32))))
+        w = look - rate * ((p - y).astype(np.float32) @ x1 / n + ridge * look)
         look = w + t / (t + 3) * (w - last)
         last = w
     return w
@@ -109,16 +131,20 @@ class ClassifierChain:
     weights: list[np.ndarray]
 
     @staticmethod
-    def fit(x: np.ndarray, targets: np.ndarray, folds: np.ndarray, names: tuple[str, ...]) -> ClassifierChain:
-        """Later models are trained on out-of-fold probabilities: those a row would get from models that never saw it."""
-        weights = []
+    def fit(x: np.ndarray, targets: np.ndarray, folds: np.ndarray, names: tuple[str, ...], by_fold: dict[int, np.ndarray] | None = None) -> ClassifierChain:
+        """Later models are trained on out-of-fold probabilities: those a row would get from models that never saw it.
+
+        ``by_fold`` holds, for each fold, the features as they would be without that fold's rows (terms chosen on the others).
+        """
+        weights, past = [], np.zeros((len(x), 0))
         for k in range(len(names)):
-            weights.append(fit_linear(x, targets[:, k]))
-            out = np.zeros(len(x))
+            weights.append(fit_linear(np.hstack([x, past]), targets[:, k]))
+            out = np.zeros((len(x), 1))
             for f in np.unique(folds):
-                w = fit_linear(x[folds != f], targets[folds != f, k])
-                out[folds == f] = predict_linear(w, x[folds == f])
-            x = np.hstack([x, out[:, None]])
+                there, seen = np.hstack([x if by_fold is None else by_fold[int(f)], past]), folds != f
+                w = fit_linear(there[seen], targets[seen, k])
+                out[~seen, 0] = predict_linear(w, there[~seen])
+            past = np.hstack([past, out])
         return ClassifierChain(names, weights)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -134,43 +160,47 @@ class ToxicityModel:
     chain: ClassifierChain
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.stack([self.vocabulary.row(word_counts(t)) for t in texts]) if texts else np.zeros((0, len(self.vocabulary.terms) + 2))
-        return self.chain.predict(x)
+        return self.chain.predict(self.vocabulary.rows(texts))
 
 
-def train(texts: list[str], toxic: np.ndarray, folds: np.ndarray) -> ToxicityModel:
+def train(texts: list[str], toxic: np.ndarray, folds: np.ndarray, langs: list[str | None]) -> ToxicityModel:
+    """Terms are chosen on all rows for the final models, and on the other folds' rows for a fold's out-of-fold probabilities."""
     counts = [word_counts(t) for t in texts]
-    vocabulary = Vocabulary(choose_terms(counts, toxic))
-    x = np.stack([vocabulary.row(c) for c in counts]) if counts else np.zeros((0, 2))
-    density = x[:, -2]
-    middle = float(np.median(density[toxic == 1])) if toxic.any() else 0.0
-    severe = toxic * (density >= middle)
-    targets = np.stack([severe, toxic - severe, toxic], axis=1).astype(float)
-    return ToxicityModel(vocabulary, ClassifierChain.fit(x, targets, folds, CATEGORIES))
+    names = [int(f) for f in np.unique(folds)]
+    parts = {f: presence([c for c, g in zip(counts, folds, strict=True) if g == f], toxic[folds == f]) for f in names}
+    pos, neg = (sum((parts[f][i] for f in names), Counter()) for i in (0, 1))
+    n1 = int(toxic.sum())
+    vocabulary = Vocabulary(choose_terms(pos, neg, n1, len(toxic) - n1))
+    by_fold = {}
+    for f in names:
+        m1, m = int(toxic[folds == f].sum()), int((folds == f).sum())
+        by_fold[f] = Vocabulary(choose_terms(pos - parts[f][0], neg - parts[f][1], n1 - m1, len(toxic) - n1 - m + m1)).rows(texts)
+    main = np.array([x == MAIN_LANG for x in langs], bool) if texts else np.zeros(0, bool)
+    targets = np.stack([toxic * main, toxic * ~main, toxic], axis=1).astype(float)
+    return ToxicityModel(vocabulary, ClassifierChain.fit(vocabulary.rows(texts), targets, folds, CATEGORIES, by_fold))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learns from a bounded sample of labelled rows outside fold 0."""
-    rows = sample_labelled(docs, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES).collect()
+    """Learns from a bounded sample of labelled rows outside fold 0. Without a column ``lang`` all rows count as other languages."""
+    rows = sample_labelled(docs, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES, ("lang",)).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], np.array([r.target for r in rows], float), np.array([r.fold % FOLDS for r in rows]))
+    return train([r.text for r in rows], np.array([r.target for r in rows], float), np.array([r.fold % FOLDS for r in rows]), [r.lang for r in rows])
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): doc_id, held_out, severe, mild, toxic (probabilities), predicted.
+    """A row per row of ``docs`` (doc_id, text): doc_id, held_out, the categories' probabilities, predicted.
 
     Whole texts are scored. A null or empty text has no words; a null doc_id is held out; repeated rows are scored
     each; extra columns are ignored; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = model.scores([t if isinstance(t, str) else None for t in b["text"]])
-            out = pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"]} | {n: p[:, k] for k, n in enumerate(model.chain.names)})
-            yield out.assign(predicted=(p[:, -1] >= THRESHOLD).astype(np.int32))
+    @F.pandas_udf(", ".join(f"{c} double" for c in model.chain.names) + ", predicted int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        p = model.scores([t if isinstance(t, str) else None for t in texts])
+        return pd.DataFrame({n: p[:, k] for k, n in enumerate(model.chain.names)}).assign(predicted=(p[:, -1] >= THRESHOLD).astype(np.int32))
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, held_out boolean, " + ", ".join(f"{c} double" for c in model.chain.names) + ", predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), run(F.col("text").cast("string")).alias("s"))
+    return rows.select("doc_id", "held_out", "s.*")
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

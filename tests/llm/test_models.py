@@ -84,7 +84,7 @@ def test_toxicity_on_held_out_rows(spark):
     docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
     out = X.score(docs, X.fit(docs, marks)).collect()
     assert accuracy(rows, labels, out, 2) > 0.95
-    assert all(0 <= p <= 1 for r in out for p in (r.severe, r.mild, r.toxic))
+    assert all(0 <= r[c] <= 1 for r in out for c in X.CATEGORIES)
 
 
 @pytest.mark.parametrize("module", [M, X])
@@ -119,3 +119,60 @@ def test_chain_feeds_out_of_fold_probabilities():
     assert len(chain.weights[0]) == 5 and len(chain.weights[1]) == 6
     p = chain.predict(x)
     assert p.shape == (300, 2) and ((p[:, 0] > 0.5) == first).mean() > 0.95
+
+
+def test_terms_of_a_fold_are_chosen_without_it(monkeypatch):
+    """A word that only one fold's toxic rows have is no feature of that fold's out-of-fold probabilities."""
+    texts = [f"plain text {'onlyhere' if i % 4 == 1 and i % 2 else 'other'} {'bad' if i % 3 == 0 else 'good'}" for i in range(240)]
+    folds = np.array([1 + i % 4 for i in range(240)])
+    toxic = np.array([float(i % 3 == 0) for i in range(240)])
+    texts = [t + (" marker" if f == 2 and y else "") for t, f, y in zip(texts, folds, toxic)]
+    seen = {}
+    fit = X.ClassifierChain.fit
+    monkeypatch.setattr(X.ClassifierChain, "fit", staticmethod(lambda x, t, f, n, by: seen.update(by=by, x=x) or fit(x, t, f, n, by)))
+    model = X.train(texts, toxic, folds, ["en"] * 240)
+    assert "marker" in model.vocabulary.terms and "bad" in model.vocabulary.terms
+    assert seen["by"][2].shape[1] < seen["x"].shape[1] and set(seen["by"]) == {1, 2, 3, 4}
+    assert [len(w) for w in model.chain.weights] == [len(model.vocabulary.terms) + 3 + k for k in range(3)]
+
+
+def test_token_rows_equal_plain_counts():
+    v = X.Vocabulary(["bad", "scou*", "worse*"])
+    texts = ["Bad, bad scoundrel's scoundrel", None, "", "nothing", "worseness worse bad-bad"]
+    for row, t in zip(v.rows(texts), texts):
+        words = [w for w, n in X.word_counts(t).items() for _ in range(n)]
+        want = [words.count("bad"), sum(w.startswith("scou") and len(w) > 4 for w in words), sum(w.startswith("worse") and len(w) > 5 for w in words)]
+        hits = sum(w == "bad" or w.startswith("scou") or w.startswith("worse") and len(w) > 5 for w in words)
+        assert np.expm1(row)[:3] == pytest.approx(want) and np.expm1(row[-2]) == pytest.approx(100 * hits / max(1, len(words)), rel=1e-4)
+
+
+def test_word_bins_follow_the_word():
+    text = b"One two one ONE\ntwo \xc3\xa9 one " * 40
+    data = np.frombuffer(text, np.uint8)
+    x = M.passages(text.decode())
+    assert x[:, -M.HASHED :].sum(axis=1) == pytest.approx(np.ones(len(x)), abs=1e-5)
+    words = text.split()
+    begins = np.cumsum([0, *[len(w) + 1 for w in words]])[:-1]
+    bins = M.word_bins(data, begins, begins + [len(w) for w in words])
+    by = {}
+    for w, b in zip(words, bins.tolist()):
+        by.setdefault(w.lower() if w.isascii() else w, set()).add(b)
+    assert all(len(b) == 1 for b in by.values())
+
+
+def test_batched_scores_equal_single_ones(spark):
+    rng = np.random.default_rng(3)
+    model = M.AttentionModel.fresh(np.zeros(M.FEATURES), np.ones(M.FEATURES), rng)
+    bags = [M.passages(t) for t in ("word " * 300, None, "a b", "### " * 70)]
+    for bag, (s, p, top) in zip(bags, M.score_bags(model, bags)):
+        one, m = model.forward(bag.astype(float), np.zeros(1, np.int64))
+        assert s == pytest.approx(one[0]) and top == m["a"].argmax() and p == (one[0] >= 0.3)
+
+
+@pytest.mark.parametrize("module", [M, X])
+def test_ids_keep_their_digits(spark, module):
+    rows, labels = corpus(8, 60)
+    model = module.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS))
+    ids = [2**53 + 1, None, 2**63 - 1]
+    docs = spark.createDataFrame([(i, "text", "x", 1, "z") for i in ids], SCHEMA).coalesce(1)
+    assert {r.doc_id for r in module.score(docs, model).collect()} == set(ids)

@@ -42,3 +42,12 @@ def test_edge_color_is_white_without_opaque_pixels(spark):
     rows = [(1, x, y, 10, 20, 30, 255) for x in range(4) for y in range(4)] + [(2, x, y, 10, 20, 30, 0) for x in range(4) for y in range(4)]
     pixels = spark.createDataFrame(rows, "grid_id long, x int, y int, r int, g int, b int, a int")
     assert {r.grid_id: (r.r, r.g, r.b) for r in W.edge_color(pixels, 4, 4).collect()} == {1: (10, 20, 30), 2: (255, 255, 255)}
+
+
+def test_subtree_ends_on_cycles(spark):
+    from gridloom.operators import evidence as E
+
+    rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 8), (7, 6), (8, 7)]
+    tree = spark.createDataFrame(rows, "id int, parent int")
+    assert {r.id for r in E.subtree(tree, F.col("id") == 2).collect()} == {2, 3, 4}
+    assert {r.id for r in E.subtree(tree, F.col("id") == 7).collect()} == {6, 7, 8}

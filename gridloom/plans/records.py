@@ -14,15 +14,15 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM pages""")
 def xml_escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.xml_escape(F.substring("html", 1, 300)).alias("xml"))
+    return table(spark, sf, "pages").select("page_id", X.xml_escape(F.col("html")).alias("xml"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM pages""")
 def xml_escape_whole(spark, sf):
-    """Whole pages; ``xml_escape`` keeps to its SQL, which takes their first 300 characters."""
-    return table(spark, sf, "pages").select("page_id", X.xml_escape(F.col("html")).alias("xml"))
+    """The rows of ``xml_escape``, under the name of an earlier round."""
+    return xml_escape(spark, sf)
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(v, '[",\\r\\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS field FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ', "x"' ELSE '' END AS v FROM part)""")
@@ -59,16 +59,15 @@ def fixed_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", X.fixed4(F.col("l_extendedprice") * 0.03125).alias("mm"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS codes FROM (SELECT doc_id, list_filter(regexp_split_to_array(upper(left(regexp_replace(text, '[^A-Za-z,\s]', '', 'g'), 200)), '[\s,，]+'), lambda x: x <> '') AS w FROM documents)""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS codes FROM (SELECT doc_id, list_filter(regexp_split_to_array(upper(regexp_replace(text, '[^A-Za-z,\s]', '', 'g')), '[\s,，]+'), lambda x: x <> '') AS w FROM documents)""")
 def code_lists(spark, sf):
-    plain = F.substring(F.regexp_replace("text", r"[^A-Za-z,\s]", ""), 1, 200)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(X.parse_codes(plain), " ").alias("codes"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.parse_codes(F.regexp_replace("text", r"[^A-Za-z,\s]", "")), " ").alias("codes"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS codes FROM (SELECT doc_id, list_filter(regexp_split_to_array(upper(regexp_replace(text, '[^A-Za-z,\s]', '', 'g')), '[\s,，]+'), lambda x: x <> '') AS w FROM documents)""")
 def code_lists_whole(spark, sf):
-    """Whole texts; ``code_lists`` keeps to its SQL, which takes their first 200 characters."""
-    return table(spark, sf, "documents").select("doc_id", F.array_join(X.parse_codes(F.regexp_replace("text", r"[^A-Za-z,\s]", "")), " ").alias("codes"))
+    """The rows of ``code_lists``, under the name of an earlier round."""
+    return code_lists(spark, sf)
 
 
 @query("""SELECT a.p_partkey, round(levenshtein(a.p_name, b.p_name) / length(a.p_name)::DOUBLE, 6) AS cer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")

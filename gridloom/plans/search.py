@@ -80,10 +80,10 @@ def over_white(spark, sf):
     return E.over_white(tiles(spark, sf).withColumn("a", F.col("v") * 7 % 256)).select("grid_id", "idx", "cr", "cg", "cb")
 
 
-@query("""WITH RECURSIVE t AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 500 = 3 UNION ALL SELECT c.o_orderkey FROM orders c JOIN t ON c.o_orderkey // 3 = t.id AND c.o_orderkey > 2) SELECT DISTINCT id FROM t""")
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey > 2 AND o_orderpriority = '1-URGENT' UNION ALL SELECT c.o_orderkey FROM orders c JOIN t ON c.o_orderkey // 3 = t.id AND c.o_orderkey > 2) SELECT DISTINCT id FROM t""")
 def region_subtree(spark, sf):
-    tree = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey > 2").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 3).alias("parent"))
-    return E.subtree(tree, F.col("id") % 500 == 3)
+    tree = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey > 2").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 3).alias("parent"), "o_orderpriority")
+    return E.subtree(tree, F.col("o_orderpriority") == "1-URGENT")
 
 
 NEAR_CELLS = f"{NEAREST}, asg AS (SELECT n.grid_id, n.idx, px.x, px.y, n.color FROM near n JOIN px USING (grid_id, idx))"

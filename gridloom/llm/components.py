@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +43,30 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 4
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     rows = now.unionByName(now.select(F.col("v").alias("u"), "v"))
     return rows.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+
+
+#: Up to so many edges (16 bytes each) one task joins them; more go through the rounds above.
+ONE_TASK = 1_000_000
+
+
+def joined(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) as ``connected_components`` gives it; a set of edges of checked size takes one task instead of many rounds."""
+    if edges.count() > ONE_TASK:
+        return connected_components(edges, scratch)
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := top.setdefault(x, x)) != x:
+                top[x] = x = top[up]
+            return x
+
+        for b in batches:
+            for x, y in zip(b["a"].tolist(), b["b"].tolist(), strict=True):
+                x, y = root(x), root(y)
+                top[max(x, y)] = min(x, y)
+        nodes = np.fromiter(top, np.int64, len(top))
+        yield pd.DataFrame({"node": nodes, "component": np.fromiter(map(root, list(top)), np.int64, len(top))})
+
+    return edges.where("a != b").select("a", "b").repartition(1).mapInPandas(join, "node long, component long")

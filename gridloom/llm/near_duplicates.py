@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -12,17 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .components import connected_components
+from .components import joined
 from .simhash import _LOWER, keep_rows, list_keys, majority, position_keys, tally
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 #: Each text is indexed under so many 64-bit fingerprints of its distinct words; a pair must share SHARED of the 8 bytes of one of them.
 #: Changed words spoil five shingles each but only one word: at similarity 0.8 most word fingerprints differ in 1 to 8 bits.
-PRINTS, SHARED = 3, 4
-#: Pairs whose fingerprints differ in more than so many of all 64 * PRINTS bits aren't compared further.
-FAR = 48
-#: Lists up to SMALL rows are compared pair by pair; in longer ones a row meets the list's middle, then WINDOW rows in each of two orders.
-SMALL, WINDOW = 8, 2
+PRINTS, SHARED = 4, 4
+#: Rounds in which lists are held against their centres end once one brings fewer than this share of the first one's links.
+WORTH, ROUNDS = 0.05, 6
+#: Ranges of a sketch of the shingles. Texts of few distinct words have alike word fingerprints; their shingles tell them apart.
+BINS = 512
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -60,20 +61,55 @@ def word_prints(text: str | None) -> np.ndarray:
     return out
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """A byte of the least value in each of BINS ranges that the values are dealt to; 0 for a range without any."""
+    out = np.zeros(BINS, np.uint8)
+    part = (values & np.uint64(BINS - 1)).astype(np.int64)
+    at, first = np.unique(part, return_index=True)  # values are sorted, so the first of a range is its least
+    out[at] = (values[first] >> np.uint64(8)).astype(np.uint8) | np.uint8(1)
+    return out.tobytes()
+
+
+def sketch_ok(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which rows of two matrices of sketches may belong to sets of the least similarity; ``sizes`` are the sets' sizes together.
+
+    Two sets differ in a range only if one of them has a value of its own there, and alike sets have few of those: this bound is exact.
+    Of large sets, which fill all ranges, as many must agree as do at the least similarity, less five deviations.
+    """
+    filled, same = ((a | b) != 0).sum(axis=1), ((a == b) & (a != 0)).sum(axis=1)
+    own = np.floor(sizes * (1 - LEAST) / (1 + LEAST) + 1e-9)
+    return (filled - same <= own) & (same >= LEAST * filled - 5 * np.sqrt(LEAST * (1 - LEAST) * filled) - 1)
+
+
+def bit_limit(n: int, words: int) -> int:
+    """How many of all 64 * PRINTS bits may differ: what a pair at the least similarity differs in, and five deviations more.
+
+    At similarity 0.8 a text of n shingles has about n / 45 changed words; a bit of a fingerprint of distinct words then differs
+    with the angle between the two sets, as a share of half a turn.
+    """
+    turn = math.acos(max(-1.0, 1.0 - n / (9 * SHINGLE) / max(1, words))) / math.pi
+    return math.ceil(64 * PRINTS * turn + 5 * math.sqrt(64 * PRINTS * turn * (1 - turn)) + 2)
+
+
 def signed(df: DataFrame) -> DataFrame:
-    """(doc_id, node, n, prints) for each row with a doc_id: node stands for the set of shingles, n is its size."""
+    """(doc_id, node, n, far, prints) for each row with a doc_id: node stands for the set of shingles, n is its size, far its bit limit."""
 
-    @F.pandas_udf("node long, n long, prints array<long>")
+    @F.pandas_udf("node long, n long, far int, prints array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             text = t if isinstance(t, str) else None
             s = shingles(text)
-            rows.append((np.uint64(node_of(s)).astype(np.int64), len(s), word_prints(text).view(np.int64) if len(s) else np.zeros(0, np.int64)))
-        return pd.DataFrame(rows, columns=["node", "n", "prints"])
+            prints = word_prints(text).view(np.int64) if len(s) else np.zeros(0, np.int64)
+            rows.append((np.uint64(node_of(s)).astype(np.int64), len(s), bit_limit(len(s), distinct_words(text)), prints))
+        return pd.DataFrame(rows, columns=["node", "n", "far", "prints"])
 
     rows = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), sign(F.col("text").cast("string")).alias("s"))
-    return rows.select("doc_id", "s.node", "s.n", "s.prints")
+    return rows.select("doc_id", "s.node", "s.n", "s.far", "s.prints")
+
+
+def distinct_words(text: str | None) -> int:
+    return len(set(text.encode("utf-8", "surrogatepass").translate(_LOWER).split())) if text else 0
 
 
 def node_column(text: Column) -> Column:
@@ -84,90 +120,135 @@ def node_column(text: Column) -> Column:
     return node(text)
 
 
+_ROW = ["key", "list", "node", *(f"p{k}" for k in range(PRINTS)), "n", "far", "group"]
+_TYPES = "key long, list int, node long, " + ", ".join(f"p{k} long" for k in range(PRINTS)) + ", n long, far int, `group` long"
+
+
 def postings(nodes: DataFrame) -> DataFrame:
-    """(key, node, fp, group): the inverted index of all fingerprints by sets of byte positions. Nodes: (node, prints, group)."""
+    """The inverted index of all fingerprints by sets of byte positions; a posting names the list's kind and carries what pairs are judged by."""
+    lists = len(position_keys(SHARED))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 4096):
                 part = b.iloc[at : at + 4096]
                 for k in range(PRINTS):
-                    rows = part[part["k"] == k]
-                    keys = list_keys(rows["fp"].to_numpy(np.int64).view(np.uint64), SHARED, k)
-                    node, fp, group = (np.repeat(rows[c].to_numpy(np.int64), keys.shape[1]) for c in ("node", "fp", "group"))
-                    yield pd.DataFrame({"key": keys.reshape(-1).view(np.int64), "node": node, "fp": fp, "group": group})
+                    keys = list_keys(part[f"p{k}"].to_numpy(np.int64).view(np.uint64), SHARED, k)
+                    out = part.loc[part.index.repeat(lists)].reset_index(drop=True)
+                    yield out.assign(key=keys.reshape(-1).view(np.int64), list=np.tile(np.arange(k * lists, (k + 1) * lists), len(part)))[_ROW]
 
-    return nodes.select("node", "group", F.posexplode("prints").alias("k", "fp")).mapInPandas(index, "key long, node long, fp long, group long")
+    rows = nodes.where(F.size("prints") == PRINTS)
+    return rows.select("node", *[F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)], "n", "far", "group").mapInPandas(index, _TYPES)
 
 
 class Lists:
-    """The posting lists of a task, as arrays."""
+    """The posting lists of a task, as arrays, list by list."""
 
     def __init__(self, batches: Iterator[pd.DataFrame]):
-        parts = [tuple(b[c].to_numpy(np.int64) for c in ("key", "node", "fp", "group")) for b in batches] or [(np.zeros(0, np.int64),) * 4]
-        self.key, self.node, fp, self.group = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.fp = fp.view(np.uint64)
-
-    def ordered(self, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows list by list, in the order ``by`` within each; where each list starts, and its size."""
-        order = np.lexsort((by, self.key))
-        key = self.key[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        return order, starts, np.diff(np.r_[starts, len(key)])
-
-    def by_bytes(self) -> np.ndarray:
-        """By the fingerprint from a byte on that the list names, which brings alike rows together."""
-        turn = (self.key.view(np.uint64) >> np.uint64(60) & np.uint64(7)) * np.uint64(8)
-        return (self.fp << turn) | (self.fp >> (np.uint64(63) - turn) >> np.uint64(1))
-
-    def by_hash(self) -> np.ndarray:
-        """By a hash of list and node: every list brings others together."""
-        return ((self.node ^ self.key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+        parts = [b for b in batches if len(b)]
+        rows = pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in _ROW})
+        order = np.lexsort((rows["node"].to_numpy(), rows["key"].to_numpy()))
+        column = lambda c: rows[c].to_numpy(np.int64)[order]
+        self.key, self.list, self.node, self.n, self.far, self.group = map(column, ("key", "list", "node", "n", "far", "group"))
+        self.sketch = np.frombuffer(b"".join(rows["sketch"].iloc[order]), np.uint8).reshape(-1, BINS) if "sketch" in rows else None
+        self.prints = np.stack([column(f"p{k}").view(np.uint64) for k in range(PRINTS)], axis=1)
+
+    def each(self, least: int = 2) -> Iterator[np.ndarray]:
+        """The rows of each list of ``least`` rows or more."""
+        starts = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(self.key)])
+        for s, m in zip(starts[sizes >= least].tolist(), sizes[sizes >= least].tolist(), strict=True):
+            yield np.arange(s, s + m)
+
+    def plausible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A matrix: which rows a and b of one list may be alike by the count filter, the sizes of their sets, and the bits of all fingerprints."""
+        k = int(self.list[a[0]]) // len(position_keys(SHARED))
+        x = self.prints[a][:, None] ^ self.prints[b][None]
+        n, m = self.n[a][:, None], self.n[b][None]
+        ok = (np.minimum(n, m) >= LEAST * np.maximum(n, m)) & (self.node[a][:, None] != self.node[b][None])
+        ok &= np.bitwise_count(x).sum(axis=2) <= np.maximum(self.far[a][:, None], self.far[b][None])
+        return ok & (tally(x[..., k], np.zeros_like(x[..., k])) >= SHARED)
+
+    def met_before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of one list meet in an earlier one too: that of an earlier print, or of earlier byte positions of this print."""
+        sets = position_keys(SHARED)
+        k, i = divmod(int(self.list[a[0]]), len(sets)) if len(a) else (0, 0)
+        x = self.prints[a] ^ self.prints[b]
+        out = np.zeros(len(a), bool)
+        for earlier in range(k):
+            out |= tally(np.ascontiguousarray(x[:, earlier]), np.zeros(1, np.uint64)) >= SHARED
+        for positions in sets[:i]:
+            out |= (x[:, k] & np.uint64(sum(0xFF << (8 * p) for p in positions))) == 0
+        return out
+
+    def blocks(self, a: np.ndarray, b: np.ndarray, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The plausible pairs of rows a with rows b; ``once``: each in the first list where they meet."""
+        step = max(1, (1 << 18) // max(1, len(b)))
+        for at in range(0, len(a), step):
+            i, j = np.nonzero(self.plausible(a[at : at + step], b))
+            x, y = a[at : at + step][i], b[j]
+            if once:
+                new = ~self.met_before(x, y) & (self.group[x] != self.group[y])
+                x, y = x[new], y[new]
+            if self.sketch is not None:
+                ok = sketch_ok(self.sketch[x], self.sketch[y], self.n[x] + self.n[y])
+                x, y = x[ok], y[ok]
+            yield x, y
+
+    def centres(self, rows: np.ndarray) -> np.ndarray:
+        """The rows nearest to the rows' majority fingerprints, over all prints."""
+        middle = np.array([majority(self.prints[rows, k]) for k in range(PRINTS)], np.uint64)
+        far = np.bitwise_count(self.prints[rows] ^ middle).sum(axis=1)
+        return rows[far == far.min()]
+
+    def others(self, rows: np.ndarray) -> np.ndarray:
+        """The rows outside the list's largest group."""
+        groups, at, sizes = np.unique(self.group[rows], return_inverse=True, return_counts=True)
+        return rows[at != np.argmax(sizes)]
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        """The rows a, b of different groups that pass the count filter, as nodes."""
+        """The rows of different groups, as nodes."""
         apart = self.group[a] != self.group[b]
-        a, b = a[apart], b[apart]
-        ok = tally(self.fp[a], self.fp[b]) >= SHARED
-        x, y = self.node[a[ok]], self.node[b[ok]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        x, y = self.node[a[apart]], self.node[b[apart]]
+        found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
-def middle_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In lists of more than SMALL rows each row with the one nearest to the list's majority fingerprint: the likely source of edited copies."""
+def open_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, list, node) of the rows that have a plausible partner in their list."""
     rows = Lists(batches)
-    order, starts, sizes = rows.ordered(rows.node)
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        at = order[s : s + n]
-        hub = int(np.argmin(np.bitwise_count(rows.fp[at] ^ np.uint64(majority(rows.fp[at])))))
-        yield rows.pairs(np.delete(at, hub), np.full(n - 1, at[hub]))
+    found = np.zeros(len(rows.key), bool)
+    for own in rows.each():
+        hub = rows.centres(own)[:1]
+        for at in (own, None):
+            left = own[~found[own]]
+            for a, b in rows.blocks(left, hub if at is not None else own):
+                found[a] = found[b] = True
+    yield pd.DataFrame({"key": rows.key[found], "list": rows.list[found], "node": rows.node[found]})
 
 
-def list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All pairs of lists of up to SMALL rows; in longer ones each row with the WINDOW rows after it in two orders. Rows of one group don't meet."""
-    rows = Lists(batches)
-    for by, short in ((rows.by_bytes(), True), (rows.by_hash(), False)):
-        order, starts, sizes = rows.ordered(by)
-        key, size = rows.key[order], np.repeat(sizes, sizes)
-        for gap in range(1, SMALL if short else WINDOW + 1):
-            wanted = (size[gap:] > SMALL) & (gap <= WINDOW) | (size[gap:] <= SMALL) & short
-            at = np.flatnonzero((key[gap:] == key[:-gap]) & wanted)
-            yield rows.pairs(order[at], order[at + gap])
+def centre_pairs(first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """In each list the rows with those nearest to its majority; after the first round, nearest to that of the rows outside the largest group."""
 
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = Lists(batches)
+        for own in rows.each(3):
+            outside = rows.others(own)
+            if len(outside):
+                for a, b in rows.blocks(rows.centres(own if first else outside), own):
+                    yield rows.pairs(a, b)
 
-def meet(nodes: DataFrame, how: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
-    """(a, b): distinct pairs of nodes of different groups that ``how`` finds in the lists; a task holds its postings (32 bytes each)."""
-    n = nodes.count() * PRINTS * len(position_keys(SHARED))
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 1_000_000))
-    return postings(nodes).repartition(tasks, "key").mapInPandas(how, "a long, b long").distinct()
+    return meet
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs whose set sizes allow the least similarity and whose fingerprints are at most FAR bits apart together."""
-    sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("prints").alias(f"p{x}")) for x in "ab"]
-    rows = pairs.join(sides[0], "a").join(sides[1], "b")
-    bits = sum((F.bit_count(F.col("pa")[k].bitwiseXOR(F.col("pb")[k])) for k in range(PRINTS)), F.lit(0))
-    return rows.where((F.least("na", "nb") >= least * F.greatest("na", "nb")) & (bits <= FAR)).select("a", "b")
+def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In each list all plausible pairs of rows of different groups."""
+    rows = Lists(batches)
+    for own in rows.each():
+        outside = rows.others(own)
+        if len(outside):
+            for a, b in rows.blocks(outside, own, once=True):
+                yield rows.pairs(a, b)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
@@ -182,50 +263,67 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
 
 
 def _sets(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, s): the sorted shingle values, as bytes, of nodes (node, doc_id), made again from their texts."""
+    """(node, s, sketch): the sorted shingle values, as bytes, of nodes (node, doc_id), made again from their texts, and their sketch."""
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t if isinstance(t, str) else None) for t in b["text"]]
             node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
             same = node == b["node"].to_numpy(np.int64)
-            yield pd.DataFrame({"node": node[same], "s": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]})
+            kept = [s for s, ok in zip(sets, same, strict=True) if ok]
+            yield pd.DataFrame({"node": node[same], "s": [s.tobytes() for s in kept], "sketch": [sketch(s) for s in kept]})
 
     texts = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(nodes, "doc_id").select("node", "text").mapInPandas(values, "node long, s binary").dropDuplicates(["node"])
+    return texts.join(nodes, "doc_id").select("node", "text").mapInPandas(values, "node long, s binary, sketch binary").dropDuplicates(["node"])
 
 
 def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of different nodes with similarity LEAST or more, enough of them to connect large groups without all their pairs.
+    """(a, b): pairs of different nodes with similarity LEAST or more, enough of them to connect what the index brings together.
 
-    First the rows of long lists are held against their list's middle. What that links is one group, whose rows needn't meet again:
-    a further link between them would join nothing. So the second pass compares only rows of different groups.
+    Lists are cut down to rows with a plausible partner. In rounds, the rows of each list are held against the list's centres, then against
+    those of the rows outside its largest group; what is linked is one group, whose rows needn't meet again, as a further link
+    between them would join nothing. Last, all plausible pairs of different groups are verified, so no pair is left out.
     """
-    found, groups = [], nodes.select("*", F.col("node").alias("group"))
-    for k, how in enumerate((middle_pairs, list_pairs)):
-        pairs = scratch.table(plausible(meet(groups, how), nodes), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
-        found.append(scratch.table(verified(pairs, scratch.table(_sets(df, ends), "sets")), "links"))
-        if k == 0:
-            comp = connected_components(found[0], scratch)
-            groups = scratch.table(nodes.join(comp, "node", "left").select(nodes["*"], F.coalesce("component", "node").alias("group")), "groups")
-    return found[0].unionByName(found[1])
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PRINTS * len(position_keys(SHARED)) // 500_000))
+    open_ = postings(nodes.withColumn("group", F.col("node"))).repartition(tasks, "key").mapInPandas(open_postings, "key long, list int, node long")
+    open_ = scratch.table(open_, "lists")
+    ends = scratch.table(open_.select("node").distinct().join(nodes, "node"), "ends")
+    sets = scratch.table(_sets(df, ends.select("node", "doc_id")), "sets")
+    prints = [F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)]
+    groups, found, first = ends.withColumn("group", F.col("node")), None, None
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS or first is not None and len_links < WORTH * first
+        rows = open_.join(groups.select("node", *prints, "n", "far", "group"), "node").select(*[f"`{c}`" for c in _ROW])
+        if last:  # fewer lists, and rows with their sketches
+            apart = rows.groupBy("key").agg((F.min("group") != F.max("group")).alias("apart")).where("apart").select("key")
+            rows = rows.join(apart, "key", "left_semi").join(sets.select("node", "sketch"), "node")
+        pairs = rows.repartition("key").mapInPandas(other_pairs if last else centre_pairs(turn == 0), "a long, b long").distinct()
+        new = scratch.table(verified(scratch.table(pairs, "pairs"), sets), "links")
+        len_links = new.count()
+        first = len_links if first is None else first
+        found = new if found is None else scratch.table(found.unionByName(new), "found")
+        if last:
+            return found
+        comp = scratch.table(joined(found, scratch), "joined")
+        groups = scratch.table(ends.join(comp, "node", "left").select(ends["*"], F.coalesce("component", "node").alias("group")), "groups")
+    return found
 
 
 def near_dedup(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (doc_id, text, any others) with the smallest doc_id of their component, once each; all columns.
 
     Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked, if the index brings them together:
-    they share SHARED positional bytes of a word fingerprint, and in long lists they meet directly or through others. No pair
-    below 0.8 is linked. README states what the index was measured to miss. Texts with equal shingles, those without a word among them, count once.
+    they share SHARED positional bytes of a word fingerprint, and their fingerprints differ in no more than ``bit_limit`` allows. No pair
+    below 0.8 is linked. README states what the index was measured to miss. An empty table gives no rows. Texts with equal shingles, those without a word among them, count once.
     Different texts under one doc_id are judged each. Rows without doc_id stay and link nothing.
     """
     scratch = Scratch(df.sparkSession, "near-dedup")
     docs = scratch.table(signed(df), "signed")
-    nodes = docs.groupBy("node").agg(F.min(F.struct("doc_id", "n", "prints")).alias("r")).select("node", "r.doc_id", "r.n", "r.prints")
+    nodes = docs.groupBy("node").agg(F.min(F.struct("doc_id", "n", "far", "prints")).alias("r")).select("node", "r.*")
     nodes = scratch.table(nodes, "nodes")
     links = similar_links(df, nodes, scratch)
-    comp = scratch.table(connected_components(links, scratch), "components")
+    comp = scratch.table(joined(links, scratch), "components")
     linked = scratch.table(nodes.join(comp, "node").select("node", "doc_id", "component"), "linked")
     least = scratch.table(linked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("r")), "least")
     alone = nodes.join(comp.select("node"), "node", "left_anti").select("doc_id", "node")

@@ -74,17 +74,25 @@ def similar_colors(samples: DataFrame, palette: DataFrame, k: int = 6) -> DataFr
     return M.top_k(C.with_oklab(samples), palette, k)
 
 
-def option_violations(options: DataFrame, ranges: dict[str, tuple[int, int]], kinds: dict[str, list[str]]) -> DataFrame:
-    """(request, field, rule) of every option that is given (name, value as text) and isn't known, whole and in range, or of a known kind."""
-    number = F.expr("try_cast(value AS DECIMAL(38, 6))")
-    low, high = (F.coalesce(*[F.when(F.col("name") == n, F.lit(r[i])) for n, r in ranges.items()], F.lit(None).cast("int")) for i in (0, 1))
-    wrong = number.isNull() | (number != F.floor(number)) | (number < low) | (number > high)
+def option_violations(options: DataFrame, ranges: dict[str, tuple[int, int]], kinds: dict[str, list[str]], weights: dict[str, tuple[int, int]] | None = None, flags: list[str] | None = None) -> DataFrame:
+    """(request, field, rule) of every option given (name, value as text) that isn't known or breaks its rule.
+
+    ``ranges`` are whole numbers within bounds, ``weights`` any numbers within bounds, ``kinds`` one of some words, ``flags`` true or false.
+    """
+    name, value, number = F.col("name"), F.col("value"), F.expr("try_cast(value AS DECIMAL(38, 6))")
+
+    def outside(bounds: dict[str, tuple[int, int]]) -> Column:
+        low, high = (F.coalesce(*[F.when(name == n, F.lit(b[i]).cast("long")) for n, b in bounds.items()], F.lit(None).cast("long")) for i in (0, 1))
+        return number.isNull() | (number < low) | (number > high)
+
     kind_ok = F.lit(False)
     for n, values in kinds.items():
-        kind_ok = kind_ok | ((F.col("name") == n) & F.col("value").isin(values))
-    rule = F.when(F.col("name").isin(list(ranges)), F.when(wrong, "not a whole number in range"))
-    rule = rule.when(F.col("name").isin(list(kinds)), F.when(~kind_ok, "unknown strategy")).otherwise("unknown option")
-    return options.where("value IS NOT NULL").withColumn("rule", rule).where("rule IS NOT NULL").select("request", F.col("name").alias("field"), "rule")
+        kind_ok = kind_ok | ((name == n) & value.isin(values))
+    rule = F.when(name.isin(list(ranges)), F.when(outside(ranges) | (number != F.floor(number)), "not a whole number in range"))
+    rule = rule.when(name.isin(list(weights or {})), F.when(outside(weights or {}), "not a number in range"))
+    rule = rule.when(name.isin(list(flags or [])), F.when(~value.isin("true", "false"), "not true or false"))
+    rule = rule.when(name.isin(list(kinds)), F.when(~kind_ok, "unknown strategy")).otherwise("unknown option")
+    return options.where("value IS NOT NULL").withColumn("rule", rule).where("rule IS NOT NULL").select("request", name.alias("field"), "rule")
 
 
 def despeckle(cells: DataFrame, passes: int, same_limit: int, majority: int) -> DataFrame:

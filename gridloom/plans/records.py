@@ -19,12 +19,6 @@ def xml_escape(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.xml_escape(F.col("html")).alias("xml"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM pages""")
-def xml_escape_whole(spark, sf):
-    """The rows of ``xml_escape``, under the name of an earlier round."""
-    return xml_escape(spark, sf)
-
-
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(v, '[",\\r\\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS field FROM (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ', "x"' ELSE '' END AS v FROM part)""")
 def csv_fields(spark, sf):
     v = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.lit(', "x"')).otherwise(F.lit("")))
@@ -64,12 +58,6 @@ def code_lists(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(X.parse_codes(F.regexp_replace("text", r"[^A-Za-z,\s]", "")), " ").alias("codes"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS codes FROM (SELECT doc_id, list_filter(regexp_split_to_array(upper(regexp_replace(text, '[^A-Za-z,\s]', '', 'g')), '[\s,，]+'), lambda x: x <> '') AS w FROM documents)""")
-def code_lists_whole(spark, sf):
-    """The rows of ``code_lists``, under the name of an earlier round."""
-    return code_lists(spark, sf)
-
-
 @query("""SELECT a.p_partkey, round(levenshtein(a.p_name, b.p_name) / length(a.p_name)::DOUBLE, 6) AS cer FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def character_error_rates(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")

@@ -64,28 +64,33 @@ def workspace_color_ids(spark, sf):
     return W.workspace_ids(rows, "Brand#13")
 
 
-@query(f"""WITH {PX}, {PAL}, {lab('px', 'grid_id, idx', 's')}, {lab('pal', 'id', 'q')}, d AS (SELECT grid_id, idx, q.id AS color, sqrt((s.ok_l - q.ok_l) ** 2 + (s.ok_a - q.ok_a) ** 2 + (s.ok_b - q.ok_b) ** 2) AS distance FROM s, q WHERE idx % 16 = 3),
+@query(f"""WITH {PX}, {PAL}, {lab('px', 'grid_id, idx', 's')}, {lab('pal', 'id', 'q')}, d AS (SELECT grid_id, idx, q.id AS color, sqrt((s.ok_l - q.ok_l) ** 2 + (s.ok_a - q.ok_a) ** 2 + (s.ok_b - q.ok_b) ** 2) AS distance FROM s, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY grid_id, idx ORDER BY distance, color)::INT AS rank FROM d) SELECT grid_id, idx, rank, color FROM r WHERE rank <= 6""")
 def similar_source_colors(spark, sf):
-    picked = tiles(spark, sf).where("idx % 16 = 3").select("grid_id", "idx", "r", "g", "b")
+    picked = tiles(spark, sf).select("grid_id", "idx", "r", "g", "b")
     return W.similar_colors(picked, palette(spark)).select("grid_id", "idx", "rank", "color")
 
 
-RANGES = {"iterations": (0, 30), "maxEvaluations": (1, 2_000_000), "restarts": (1, 8), "seed": (0, 2_147_483_647), "islandMaxSize": (1, 16)}
+#: Whole-number options with their bounds, weights from 0 to 10, options of named kinds.
+RANGES = {"iterations": (0, 30), "maxEvaluations": (1, 2_000_000), "restarts": (1, 8), "seed": (0, 4_294_967_295), "islandMaxSize": (1, 16)}
+WEIGHTS = {f"weights.{n}": (0, 10) for n in ("color", "smooth", "edge", "island", "palette", "feature", "symmetry")}
 KINDS = {"strategy": ["dominant", "mean", "weighted-area", "modes"], "unary": ["representative", "modes"]}
-_NAMES = ["iterations", "maxEvaluations", "restarts", "seed", "islandMaxSize", "strategy", "unary", "other"]
-_VALUE = "CASE WHEN o_orderkey % 11 = 5 THEN 'modes' WHEN o_orderkey % 11 = 6 THEN '1.5' ELSE (o_orderkey % 45 - 3)::VARCHAR END"
+FLAGS = ["symmetry", "sourceComponents", "sourceShapes", "sourceColors", "sourceEdges", "crossBinStrokes"]
+_NAMES = [*RANGES, *KINDS, "other", *FLAGS, *WEIGHTS]
+_VALUE = "CASE WHEN o_orderkey % 11 = 5 THEN 'modes' WHEN o_orderkey % 11 = 6 THEN '1.5' WHEN o_orderkey % 11 = 7 THEN 'true' WHEN o_orderkey % 11 = 8 THEN (o_orderkey * 20000)::VARCHAR ELSE (o_orderkey % 45 - 3)::VARCHAR END"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS request, [{', '.join(f"'{n}'" for n in _NAMES)}][(o_orderkey % 8 + 1)::INT] AS name, {_VALUE} AS value FROM orders),
+@query(f"""WITH o AS (SELECT o_orderkey AS request, [{', '.join(f"'{n}'" for n in _NAMES)}][(o_orderkey % {len(_NAMES)} + 1)::INT] AS name, {_VALUE} AS value FROM orders),
 c AS (SELECT *, CASE {' '.join(f"WHEN name = '{n}' THEN CASE WHEN try_cast(value AS DOUBLE) IS NULL OR value::DOUBLE <> floor(value::DOUBLE) OR value::DOUBLE < {a} OR value::DOUBLE > {b} THEN 'not a whole number in range' END" for n, (a, b) in RANGES.items())}
+  {' '.join(f"WHEN name = '{n}' THEN CASE WHEN try_cast(value AS DOUBLE) IS NULL OR value::DOUBLE < {a} OR value::DOUBLE > {b} THEN 'not a number in range' END" for n, (a, b) in WEIGHTS.items())}
+  WHEN name IN ({', '.join(f"'{n}'" for n in FLAGS)}) THEN CASE WHEN value NOT IN ('true', 'false') THEN 'not true or false' END
   {' '.join(f"WHEN name = '{n}' THEN CASE WHEN value NOT IN ({', '.join(repr(v) for v in vs)}) THEN 'unknown strategy' END" for n, vs in KINDS.items())} ELSE 'unknown option' END AS rule FROM o)
 SELECT request, name AS field, rule FROM c WHERE rule IS NOT NULL""")
 def option_violations(spark, sf):
     key = F.col("o_orderkey")
-    value = F.when(key % 11 == 5, F.lit("modes")).when(key % 11 == 6, F.lit("1.5")).otherwise((key % 45 - 3).cast("string"))
-    rows = spark.read.parquet(f"{sf}/orders.parquet").select(key.alias("request"), F.element_at(F.array(*map(F.lit, _NAMES)), (key % 8 + 1).cast("int")).alias("name"), value.alias("value"))
-    return W.option_violations(rows, RANGES, KINDS)
+    value = F.when(key % 11 == 5, F.lit("modes")).when(key % 11 == 6, F.lit("1.5")).when(key % 11 == 7, F.lit("true")).when(key % 11 == 8, (key * 20000).cast("string")).otherwise((key % 45 - 3).cast("string"))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(key.alias("request"), F.element_at(F.array(*map(F.lit, _NAMES)), (key % len(_NAMES) + 1).cast("int")).alias("name"), value.alias("value"))
+    return W.option_violations(rows, RANGES, KINDS, WEIGHTS, FLAGS)
 
 
 def _pass(source: str, name: str) -> str:

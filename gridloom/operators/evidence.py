@@ -9,6 +9,7 @@ from ..functions import color as C
 from . import match as M
 from . import sampling as S
 from .diagnostics import regions
+from .rounds import ascend
 
 
 def cell_votes(matched: DataFrame, share: float) -> DataFrame:
@@ -71,11 +72,5 @@ def over_white(pixels: DataFrame) -> DataFrame:
 
 
 def subtree(tree: DataFrame, root: Column, key: str = "id", parent: str = "parent") -> DataFrame:
-    """(key) of the rows that ``root`` selects and all below them, level by level. A branch ends where it would meet itself again, so cycles end."""
-    spark = tree.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE t(k, path) AS (SELECT {key}, array({key}) FROM {{roots}}
-        UNION ALL SELECT c.{key}, array_append(t.path, c.{key}) FROM {{tree}} c JOIN t ON c.{parent} = t.k WHERE NOT array_contains(t.path, c.{key}))
-        SELECT DISTINCT k AS {key} FROM t""",
-        roots=tree.where(root).select(key), tree=tree.select(key, parent),
-    )
+    """(key) of the rows that ``root`` selects and all below them, in logarithmically many joins; cycles end."""
+    return ascend(tree, root, key=key, parent=parent).where("marked").select(key)

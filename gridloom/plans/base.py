@@ -17,6 +17,8 @@ PX = """px AS (SELECT *, v AS r, 255 - v AS g, v * 3 % 256 AS b, CASE WHEN v < 9
   FROM embeddings, unnest(range(1, 65)) AS t(i)))"""
 CELLS = PX + ", cells AS (SELECT grid_id, idx, x, y, CASE WHEN v >= 96 THEN 'k' || (v - 96) // 24 END AS color FROM px)"
 PAL = "pal(pos, id, code, r, g, b) AS (VALUES " + ", ".join(str(p) for p in PALETTE) + ")"
+PC = "pc AS (SELECT 'p' || p_partkey AS id, (p_partkey * 37 % 256)::INT AS r, (p_size * 5 % 256)::INT AS g, ((p_partkey * p_size + 31) % 256)::INT AS b FROM part)"
+BOTH = f"{PAL}, {PC}, pp AS (SELECT id, r, g, b FROM pc UNION ALL SELECT id, r, g, b FROM pal)"
 LAYERS = """layers AS (SELECT *, z % 4 <> 0 AS visible, CASE WHEN z % 5 <> 0 THEN 1 ELSE 0 END AS opacity, z % 3 = 0 AS locked, z <> 2 AS in_usage
   FROM (SELECT l_orderkey AS cell, l_linenumber::INT AS z, max(CASE WHEN l_discount <> 0 THEN l_returnflag || l_linestatus END) AS color FROM lineitem GROUP BY 1, 2))"""
 

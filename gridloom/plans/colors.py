@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from ..operators import layers as L
 from ..operators import match as M
-from ..sources.tables import palette, tiles
-from .base import PAL, PX, lab, linear, query, redmean
+from ..sources.tables import palette, part_colors, tiles
+from .base import BOTH, PAL, PC, PX, lab, linear, query, redmean
 
 OK_SQL = "round(ok_l, 6) AS ok_l, round(ok_a, 6) AS ok_a, round(ok_b, 6) AS ok_b"
 
@@ -19,10 +19,10 @@ def rounded(*columns):
     return [F.round(c, 6).alias(c) for c in columns]
 
 
-def pairs(spark):
-    """All pairs of palette colours; the palette is bounded, so is its square."""
-    pal = palette(spark)
-    return pal.select(*[F.col(c).alias("p_" + c) for c in pal.columns]).crossJoin(F.broadcast(pal.select(*[F.col(c).alias("q_" + c) for c in pal.columns])))
+def pairs(spark, sf):
+    """Each part's colour with each colour of the palette, whose size is bounded."""
+    p, q = (df.select(*[F.col(c).alias(k + c) for c in ("id", "r", "g", "b")]) for k, df in (("p_", part_colors(spark, sf)), ("q_", palette(spark))))
+    return p.crossJoin(F.broadcast(q))
 
 
 @query(f"WITH {PX} SELECT grid_id, idx, x, y, r, g, b, a FROM px")
@@ -47,22 +47,22 @@ CIE = """f AS (SELECT id, (0.4124564 * lr + 0.3575761 * lg + 0.1804375 * lb) / 0
 h AS (SELECT id, CASE WHEN x > 216.0 / 24389 THEN cbrt(x) ELSE (24389.0::DOUBLE / 27 * x + 16) / 116 END AS x, CASE WHEN y > 216.0 / 24389 THEN cbrt(y) ELSE (24389.0::DOUBLE / 27 * y + 16) / 116 END AS y,
   CASE WHEN z > 216.0 / 24389 THEN cbrt(z) ELSE (24389.0::DOUBLE / 27 * z + 16) / 116 END AS z FROM f),
 cie AS (SELECT id, 116 * y - 16 AS l, 500 * (x - y) AS a, 200 * (y - z) AS b FROM h)"""
-CIE_PAL = f"{PAL}, lin AS (SELECT id, {linear('r')} AS lr, {linear('g')} AS lg, {linear('b')} AS lb FROM pal), {CIE}"
+CIE_BOTH = f"{BOTH}, lin AS (SELECT id, {linear('r')} AS lr, {linear('g')} AS lg, {linear('b')} AS lb FROM pp), {CIE}"
 
 
-def cie_palette(spark):
-    lin = palette(spark).select("id", *[C.byte_to_linear(F.col(c)).alias(f"l{c}") for c in "rgb"])
+def cie_colors(colors):
+    lin = colors.select("id", *[C.byte_to_linear(F.col(c)).alias(f"l{c}") for c in "rgb"])
     l, a, b = C.cie_lab((F.col("lr"), F.col("lg"), F.col("lb")))
     return lin.select("id", l.alias("l"), a.alias("a"), b.alias("b"))
 
 
-@query(f"WITH {CIE_PAL} SELECT id, round(l, 6) AS l, round(a, 6) AS a, round(b, 6) AS b FROM cie")
+@query(f"WITH {CIE_BOTH} SELECT id, round(l, 6) AS l, round(a, 6) AS a, round(b, 6) AS b FROM cie")
 def cie_lab(spark, sf):
-    return cie_palette(spark).select("id", *rounded("l", "a", "b"))
+    return cie_colors(part_colors(spark, sf).unionByName(palette(spark).select("id", "r", "g", "b"))).select("id", *rounded("l", "a", "b"))
 
 
-@query(f"""WITH {CIE_PAL},
-u AS (SELECT p.id AS p_id, q.id AS q_id, p.l AS l1, p.a AS a1, p.b AS b1, q.l AS l2, q.a AS a2, q.b AS b2, pow((sqrt(p.a * p.a + p.b * p.b) + sqrt(q.a * q.a + q.b * q.b)) / 2, 7) AS m7 FROM cie p, cie q),
+@query(f"""WITH {CIE_BOTH},
+u AS (SELECT p.id AS p_id, q.id AS q_id, p.l AS l1, p.a AS a1, p.b AS b1, q.l AS l2, q.a AS a2, q.b AS b2, pow((sqrt(p.a * p.a + p.b * p.b) + sqrt(q.a * q.a + q.b * q.b)) / 2, 7) AS m7 FROM cie p, cie q WHERE p.id LIKE 'p%' AND q.id LIKE 'c%'),
 v AS (SELECT *, 1 + 0.5 * (1 - sqrt(m7 / (m7 + pow(25.0::DOUBLE, 7)))) AS s FROM u),
 w AS (SELECT *, sqrt(s * a1 * s * a1 + b1 * b1) AS c1, sqrt(s * a2 * s * a2 + b2 * b2) AS c2 FROM v),
 hh AS (SELECT *, CASE WHEN c1 = 0 THEN 0 ELSE fmod(degrees(atan2(b1, s * a1)) + 360, 360) END AS h1, CASE WHEN c2 = 0 THEN 0 ELSE fmod(degrees(atan2(b2, s * a2)) + 360, 360) END AS h2 FROM w),
@@ -75,15 +75,14 @@ z AS (SELECT *, (l2 - l1) / (1 + 0.015 * (lm - 50) ** 2 / sqrt(20 + (lm - 50) **
   -2 * sqrt(pow(cm, 7) / (pow(cm, 7) + pow(25.0::DOUBLE, 7))) * sin(radians(60 * exp(-(((hm - 275) / 25) ** 2)))) AS rt FROM t)
 SELECT p_id, q_id, round(sqrt(greatest(0, dl * dl + dc * dc + dh * dh + rt * dc * dh)), 5) AS de FROM z""")
 def delta_e2000(spark, sf):
-    cie = cie_palette(spark)
-    p, q = (cie.select(*[F.col(c).alias(k + c) for c in cie.columns]) for k in ("p_", "q_"))
+    p, q = (cie_colors(df).select(*[F.col(c).alias(k + c) for c in ("id", *"lab")]) for k, df in (("p_", part_colors(spark, sf)), ("q_", palette(spark))))
     de = C.delta_e2000(*[tuple(F.col(k + c) for c in "lab") for k in ("p_", "q_")])
     return p.crossJoin(F.broadcast(q)).select("p_id", "q_id", F.round(de, 5).alias("de"))
 
 
-@query(f"WITH {PAL} SELECT p.id AS p_id, q.id AS q_id, round({redmean('p', 'q')}, 6) AS d FROM pal p, pal q")
+@query(f"WITH {PAL}, {PC} SELECT p.id AS p_id, q.id AS q_id, round({redmean('p', 'q')}, 6) AS d FROM pc p, pal q")
 def redmean_distance(spark, sf):
-    return pairs(spark).select("p_id", "q_id", F.round(C.redmean(rgb("p_"), rgb("q_")), 6).alias("d"))
+    return pairs(spark, sf).select("p_id", "q_id", F.round(C.redmean(rgb("p_"), rgb("q_")), 6).alias("d"))
 
 
 NEAREST = f"""{PX}, {PAL}, {lab('px', 'grid_id, idx, a', 'o')}, {lab('pal', 'id', 'q')},
@@ -127,16 +126,16 @@ def effects():
     return {"invert": tuple(255 - c for c in rgb()), "grayscale": (grey,) * 3, "black-white": (bw,) * 3}
 
 
-EFFECTS_SQL = """e AS (SELECT id, 'invert' AS effect, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM pal
-  UNION ALL SELECT id, 'grayscale', y, y, y FROM (SELECT id, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5)::INT AS y FROM pal)
-  UNION ALL SELECT id, 'black-white', y, y, y FROM (SELECT id, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b >= 150 THEN 255 ELSE 0 END AS y FROM pal))"""
+EFFECTS_SQL = """e AS (SELECT id, 'invert' AS effect, 255 - r AS r, 255 - g AS g, 255 - b AS b FROM pc
+  UNION ALL SELECT id, 'grayscale', y, y, y FROM (SELECT id, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5)::INT AS y FROM pc)
+  UNION ALL SELECT id, 'black-white', y, y, y FROM (SELECT id, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b >= 150 THEN 255 ELSE 0 END AS y FROM pc))"""
 
 
-@query(f"WITH {PAL}, {EFFECTS_SQL} SELECT p.effect, p.id, arg_min(q.id, ({redmean('p', 'q')}, q.pos)) AS color FROM e p, pal q GROUP BY 1, 2")
+@query(f"WITH {PAL}, {PC}, {EFFECTS_SQL} SELECT p.effect, p.id, arg_min(q.id, ({redmean('p', 'q')}, q.pos)) AS color FROM e p, pal q GROUP BY 1, 2")
 def effect_colors(spark, sf):
     rows = None
     for name, out in effects().items():
-        part = palette(spark).select("id", F.lit(name).alias("effect"), *[c.alias(n) for c, n in zip(out, "rgb", strict=True)])
+        part = part_colors(spark, sf).select("id", F.lit(name).alias("effect"), *[c.alias(n) for c, n in zip(out, "rgb", strict=True)])
         rows = part if rows is None else rows.unionByName(part)
     return M.nearest_redmean(rows, palette(spark), *rgb()).select("effect", "id", "color")
 
@@ -194,22 +193,22 @@ def background_samples(spark, sf):
     return tiles(spark, sf).where((F.col("a") < 24) | near).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {PAL} SELECT id, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b < 130 THEN '#ffffff' ELSE '#111111' END AS ink, printf('#%02X%02X%02X', r, g, b) AS hex FROM pal")
+@query(f"WITH {PC} SELECT id, CASE WHEN 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b < 130 THEN '#ffffff' ELSE '#111111' END AS ink, printf('#%02X%02X%02X', r, g, b) AS hex FROM pc")
 def readable_text(spark, sf):
-    return palette(spark).select("id", F.when(C.luma(rgb()) < 130, F.lit("#ffffff")).otherwise(F.lit("#111111")).alias("ink"), C.hex_color(rgb()).alias("hex"))
+    return part_colors(spark, sf).select("id", F.when(C.luma(rgb()) < 130, F.lit("#ffffff")).otherwise(F.lit("#111111")).alias("ink"), C.hex_color(rgb()).alias("hex"))
 
 
 def _similar_sql() -> str:
     y = lambda t: f"(0.299::DOUBLE * {t}.r + 0.587::DOUBLE * {t}.g + 0.114::DOUBLE * {t}.b)"
     ch = lambda t: f"(greatest({t}.r, {t}.g, {t}.b) - least({t}.r, {t}.g, {t}.b))"
-    return f"""SELECT p_id, q_id FROM (SELECT p.id AS p_id, q.id AS q_id, {redmean('p', 'q')} AS d, {ch('p')} AS cp, {ch('q')} AS cq, {y('p')} AS lp, {y('q')} AS lq FROM pal p, pal q WHERE p.id <> q.id)
+    return f"""SELECT p_id, q_id FROM (SELECT p.id AS p_id, q.id AS q_id, {redmean('p', 'q')} AS d, {ch('p')} AS cp, {ch('q')} AS cq, {y('p')} AS lp, {y('q')} AS lq FROM pc p, pal q)
 WHERE d <= 84 * (CASE WHEN (lp < 84 AND lq < 84) OR (lp > 188 AND lq > 188 AND cp < 46 AND cq < 46) OR (lp > 96 AND lq > 96 AND cp < 82 AND cq < 82) THEN 1.15::DOUBLE ELSE 1 END)
   * (CASE WHEN cp > 78 OR cq > 78 THEN 0.7::DOUBLE ELSE 1 END) * (CASE WHEN abs(cp - cq) > 56 THEN 0.58::DOUBLE ELSE 1 END) * (CASE WHEN abs(lp - lq) > 86 AND NOT (lp < 84 AND lq < 84) THEN 0.55::DOUBLE ELSE 1 END)"""
 
 
-@query(f"WITH {PAL} {_similar_sql()}")
+@query(f"WITH {PAL}, {PC} {_similar_sql()}")
 def similar_pairs(spark, sf):
-    return pairs(spark).where((F.col("p_id") != F.col("q_id")) & C.similar(rgb("p_"), rgb("q_"), 4)).select("p_id", "q_id")
+    return pairs(spark, sf).where(C.similar(rgb("p_"), rgb("q_"), 4)).select("p_id", "q_id")
 
 
 @query(f"""WITH {PX}, {PAL}, n AS (SELECT grid_id, idx, arg_min(q.id, ({redmean('p', 'q')}, q.pos)) AS id FROM px p, pal q WHERE a > 0 GROUP BY 1, 2),

@@ -7,8 +7,8 @@ from ..functions import color as C
 from ..operators import layers as L
 from ..operators import match as M
 from ..operators import pages as P
-from ..sources.tables import layer_cells, palette, tile_cells, tiles
-from .base import CELLS, LAYERS, PAL, PX, lab, query, redmean
+from ..sources.tables import layer_cells, palette, part_colors, tile_cells, tiles
+from .base import BOTH, CELLS, LAYERS, PAL, PC, PX, lab, query, redmean
 from .colors import pairs, rgb
 
 HSL = """{n}_h AS (SELECT id, r, g, b, greatest(r, g, b) / 255.0::DOUBLE AS hi, least(r, g, b) / 255.0::DOUBLE AS lo, r / 255.0::DOUBLE AS rr, g / 255.0::DOUBLE AS gg, b / 255.0::DOUBLE AS bb FROM {src}),
@@ -23,12 +23,12 @@ def _channel(n: int) -> str:
     return BYTE.format(f"255 * (light - sat * least(light, 1 - light) * greatest(-1, least({k} - 3, 9 - {k}, 1)))")
 
 
-@query(f"""WITH {PAL}, w AS (SELECT id, {BYTE.format('r + 1.35 * 12::DOUBLE')} AS r, {BYTE.format('g + 0.28 * 12::DOUBLE')} AS g, {BYTE.format('b - 1.35 * 12::DOUBLE')} AS b FROM pal),
+@query(f"""WITH {PAL}, {PC}, w AS (SELECT id, {BYTE.format('r + 1.35 * 12::DOUBLE')} AS r, {BYTE.format('g + 0.28 * 12::DOUBLE')} AS g, {BYTE.format('b - 1.35 * 12::DOUBLE')} AS b FROM pc),
 c AS (SELECT id, {', '.join(BYTE.format(f'{FACTOR}::DOUBLE * ({x} - 128) + 128 + 10 * 2.55::DOUBLE') + ' AS ' + x for x in 'rgb')} FROM w), {HSL.format(n='h', src='c')},
 t AS (SELECT id, fmod(hue + 40, 360) AS hue, least(1, sat * 1.25) AS sat, light FROM h), o AS (SELECT id, {_channel(0)} AS r, {_channel(8)} AS g, {_channel(4)} AS b FROM t)
 SELECT p.id, p.r, p.g, p.b, arg_min(q.id, ({redmean('p', 'q')}, q.pos)) AS color FROM o p, pal q GROUP BY 1, 2, 3, 4""")
 def adjust_colors(spark, sf):
-    rows = C.adjust(palette(spark).select("id", "r", "g", "b"), 12, 20, 10, 40, 25)
+    rows = C.adjust(part_colors(spark, sf).select("id", "r", "g", "b"), 12, 20, 10, 40, 25)
     return M.nearest_redmean(rows, palette(spark), *rgb()).select("id", "r", "g", "b", "color")
 
 
@@ -36,15 +36,15 @@ def _close_sql(level: int) -> str:
     pick = lambda *v: v[level - 1]
     y = lambda t: f"(0.299::DOUBLE * {t}.r + 0.587::DOUBLE * {t}.g + 0.114::DOUBLE * {t}.b)"
     ch = lambda t: f"(greatest({t}.r, {t}.g, {t}.b) - least({t}.r, {t}.g, {t}.b))"
-    return f"""z AS (SELECT p.id AS p_id, q.id AS q_id, {redmean('p', 'q')} AS d, {ch('p')} AS cp, {ch('q')} AS cq, abs({y('p')} - {y('q')}) AS gap, least(abs(p.hue - q.hue), 360 - abs(p.hue - q.hue)) AS turn FROM h p, h q WHERE p.id <> q.id),
+    return f"""z AS (SELECT p.id AS p_id, q.id AS q_id, {redmean('p', 'q')} AS d, {ch('p')} AS cp, {ch('q')} AS cq, abs({y('p')} - {y('q')}) AS gap, least(abs(p.hue - q.hue), 360 - abs(p.hue - q.hue)) AS turn FROM h p, h q WHERE p.id LIKE 'p%' AND q.id LIKE 'c%'),
 v AS (SELECT *, cp > 72 OR cq > 72 AS vivid, CASE WHEN cp > 72 OR cq > 72 THEN {pick(34, 50, 66, 82)} ELSE {pick(44, 64, 84, 104)} END AS lim FROM z)
 SELECT p_id, q_id FROM v WHERE CASE WHEN cp < 34 AND cq < 34 THEN d <= {pick(48, 68, 88, 108)} AND gap <= {pick(30, 44, 60, 76)}
   ELSE (NOT vivid OR turn <= {pick(12, 18, 28, 38)}) AND abs(cp - cq) <= {pick(30, 44, 60, 76)} AND gap <= {pick(34, 50, 68, 84)} AND (d <= lim OR turn <= {pick(14, 24, 36, 48)} AND d <= lim * 1.18::DOUBLE) END"""
 
 
-@query(f"WITH {PAL}, {HSL.format(n='h', src='pal')}, {_close_sql(4)}")
+@query(f"WITH {BOTH}, {HSL.format(n='h', src='pp')}, {_close_sql(4)}")
 def merge_candidates(spark, sf):
-    return pairs(spark).where((F.col("p_id") != F.col("q_id")) & C.close_for_merge(rgb("p_"), rgb("q_"), 4)).select("p_id", "q_id")
+    return pairs(spark, sf).where(C.close_for_merge(rgb("p_"), rgb("q_"), 4)).select("p_id", "q_id")
 
 
 @query(f"WITH {PX} SELECT grid_id, x - 2 AS x, y - 1 AS y, (y - 1) * 5 + x - 2 AS idx, v FROM px WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 5")
@@ -123,14 +123,16 @@ def layer_reorder(spark, sf):
     return L.composite(moved)
 
 
-@query(f"""WITH {PAL}, c AS (SELECT p.id AS p_id, q.id AS q_id, {redmean('p', 'q')} AS d FROM pal p, pal q), b AS (SELECT p_id, min(d) FILTER (q_id <> p_id) AS nearest FROM c GROUP BY 1)
-SELECT c.p_id, c.q_id, round(c.d, 6) AS d FROM c JOIN b ON b.p_id = c.p_id JOIN c w ON w.p_id = c.q_id AND w.q_id = 'c01' WHERE c.d <= greatest(60, nearest + 20) AND c.d < 0.75 * w.d""")
+@query(f"""WITH {PAL}, {PC}, c AS (SELECT p.id AS p_id, q.id AS q_id, {redmean('p', 'q')} AS d FROM pc p, pal q), b AS (SELECT p_id, min(d) AS nearest FROM c GROUP BY 1),
+w AS (SELECT p.id AS q_id, {redmean('p', 'q')} AS d FROM pal p, pal q WHERE q.id = 'c01')
+SELECT c.p_id, c.q_id, round(c.d, 6) AS d FROM c JOIN b ON b.p_id = c.p_id JOIN w ON w.q_id = c.q_id WHERE c.d <= greatest(60, nearest + 20) AND c.d < 0.75 * w.d""")
 def acceptable_colors(spark, sf):
-    """Palette colours close enough to a wanted one, and clearly closer to it than to the background."""
-    d = pairs(spark).select("p_id", "q_id", C.redmean(rgb("p_"), rgb("q_")).alias("d"))
-    near = d.withColumn("nearest", F.min(F.when(F.col("p_id") != F.col("q_id"), F.col("d"))).over(Window.partitionBy("p_id")))
-    back = d.where("q_id = 'c01'").select(F.col("p_id").alias("q_id"), F.col("d").alias("back"))
-    ok = near.join(back, "q_id").where((F.col("d") <= F.greatest(F.lit(60.0), F.col("nearest") + 20)) & (F.col("d") < 0.75 * F.col("back")))
+    """Palette colours close enough to a part's, and clearly closer to it than to the background."""
+    d = pairs(spark, sf).select("p_id", "q_id", C.redmean(rgb("p_"), rgb("q_")).alias("d"))
+    near = d.withColumn("nearest", F.min("d").over(Window.partitionBy("p_id")))
+    white = palette(spark).where("id = 'c01'").select(*[F.col(c).alias("w_" + c) for c in "rgb"])
+    back = palette(spark).crossJoin(F.broadcast(white)).select(F.col("id").alias("q_id"), C.redmean(rgb(), rgb("w_")).alias("back"))
+    ok = near.join(F.broadcast(back), "q_id").where((F.col("d") <= F.greatest(F.lit(60.0), F.col("nearest") + 20)) & (F.col("d") < 0.75 * F.col("back")))
     return ok.select("p_id", "q_id", F.round("d", 6).alias("d"))
 
 

@@ -98,47 +98,45 @@ def pack_unpack(spark, sf):
 
 # shapes
 
-BOXES = [(1, 0, 0, 9, 5), (2, 12, 3, 4, 11), (3, 5, 5, 5, 5), (4, 2, 9, 3, 1), (5, 0, 0, 20, 20), (6, 7, 2, 16, 13)]
-BOX_SQL = "s(id, x0, y0, x1, y1) AS (VALUES " + ", ".join(map(str, BOXES)) + ")"
+BOX_SQL = "s AS (SELECT p_partkey AS id, (p_partkey % 23)::INT AS x0, (p_size % 17)::INT AS y0, (p_partkey * 7 % 29)::INT AS x1, ((p_size * 3 + p_partkey) % 19)::INT AS y1 FROM part)"
 IN_BOX = f"{BOX_SQL}, bx AS (SELECT s.*, tx.x::INT AS x, ty.y::INT AS y FROM s, LATERAL (SELECT unnest(range(least(x0, x1), greatest(x0, x1) + 1)) AS x) tx, LATERAL (SELECT unnest(range(least(y0, y1), greatest(y0, y1) + 1)) AS y) ty)"
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
-def boxes(spark):
-    return spark.createDataFrame(BOXES, "id int, x0 int, y0 int, x1 int, y1 int")
+def boxes(spark, sf):
+    """Two corners of a box for each part, in any order."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    corners = {"x0": key % 23, "y0": size % 17, "x1": key * 7 % 29, "y1": (size * 3 + key) % 19}
+    return spark.read.parquet(f"{sf}/part.parquet").select(key.alias("id"), *[c.cast("int").alias(n) for n, c in corners.items()])
 
 
 @query(f"""WITH {BOX_SQL}, n AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0), 1) AS n FROM s), p AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
 SELECT DISTINCT id, floor(x0 + (x1 - x0) * k / n::DOUBLE + 0.5)::INT AS x, floor(y0 + (y1 - y0) * k / n::DOUBLE + 0.5)::INT AS y FROM p""")
 def shape_line(spark, sf):
-    return G.line(boxes(spark), *CORNERS).select("id", "x", "y").distinct()
+    return G.line(boxes(spark, sf), *CORNERS).select("id", "x", "y").distinct()
 
 
 @query(f"WITH {IN_BOX} SELECT id, x, y FROM bx WHERE x IN (x0, x1) OR y IN (y0, y1)")
 def shape_rectangle(spark, sf):
-    return G.box(boxes(spark), *CORNERS).where(G.edge_of_box(*CORNERS)).select("id", "x", "y")
+    return G.box(boxes(spark, sf), *CORNERS).where(G.edge_of_box(*CORNERS)).select("id", "x", "y")
 
 
 @query(f"WITH {IN_BOX} SELECT id, x, y FROM bx")
 def shape_filled_rectangle(spark, sf):
-    return G.box(boxes(spark), *CORNERS).select("id", "x", "y")
+    return G.box(boxes(spark, sf), *CORNERS).select("id", "x", "y")
 
 
 @query(f"""WITH {IN_BOX} SELECT id, x, y FROM bx WHERE abs(x1 - x0) <= 1 OR abs(y1 - y0) <= 1
   OR ((x - (x0 + x1) / 2.0::DOUBLE) / (abs(x1 - x0) / 2.0::DOUBLE)) ** 2 + ((y - (y0 + y1) / 2.0::DOUBLE) / (abs(y1 - y0) / 2.0::DOUBLE)) ** 2 <= 1.02""")
 def shape_filled_ellipse(spark, sf):
-    return G.box(boxes(spark), *CORNERS).where(G.in_ellipse(*CORNERS)).select("id", "x", "y")
+    return G.box(boxes(spark, sf), *CORNERS).where(G.in_ellipse(*CORNERS)).select("id", "x", "y")
 
 
-SQUARES = [(1, 0, 0, 9, 9), (2, 12, 3, 4, 11), (5, 0, 0, 20, 20), (6, 7, 2, 17, 12)]
-
-
-@query("""WITH s(id, x0, y0, x1, y1) AS (VALUES (1, 0, 0, 9, 9), (2, 12, 3, 4, 11), (5, 0, 0, 20, 20), (6, 7, 2, 17, 12)),
-c AS (SELECT id, floor((x0 + x1) / 2.0 + 0.5)::INT AS cx, floor((y0 + y1) / 2.0 + 0.5)::INT AS cy, greatest(1, floor(abs(x1 - x0) / 2.0 + 0.5))::INT AS r FROM s),
+@query("""WITH """ + BOX_SQL + """, c AS (SELECT id, floor((x0 + x1) / 2.0 + 0.5)::INT AS cx, floor((y0 + y0 + x1 - x0) / 2.0 + 0.5)::INT AS cy, greatest(1, floor(abs(x1 - x0) / 2.0 + 0.5))::INT AS r FROM s),
 p AS (SELECT *, cx + tx.d AS x, cy + ty.d AS y FROM c, LATERAL (SELECT unnest(range(-r, r + 1))::INT AS d) tx, LATERAL (SELECT unnest(range(-r, r + 1))::INT AS d) ty)
 SELECT id, x, y FROM p WHERE (x - cx) ** 2 + (y - cy) ** 2 <= (r + 0.2::DOUBLE) ** 2""")
 def shape_filled_circle(spark, sf):
-    return G.filled_circle(spark.createDataFrame(SQUARES, "id int, x0 int, y0 int, x1 int, y1 int"), *CORNERS).select("id", "x", "y")
+    return G.filled_circle(boxes(spark, sf).withColumn("y1", F.col("y0") + F.col("x1") - F.col("x0")), *CORNERS).select("id", "x", "y")
 
 
 TRIANGLE = [(8.0, 0.0), (0.0, 12.0), (16.0, 12.0)]
@@ -152,9 +150,9 @@ def polygon_sql(points, x="x", y="y"):
     return "(" + " + ".join(parts) + ") % 2 = 1"
 
 
-@query(f"SELECT x::INT AS x, y::INT AS y FROM (SELECT unnest(range(0, 17)) AS x), (SELECT unnest(range(0, 13)) AS y) WHERE {polygon_sql(TRIANGLE)}")
+@query(f"SELECT l_orderkey, l_linenumber, x, y FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 17)::INT AS x, (l_suppkey % 13)::INT AS y FROM lineitem) WHERE {polygon_sql(TRIANGLE)}")
 def shape_filled_polygon(spark, sf):
-    grid = spark.range(17 * 13).select((F.col("id") % 17).cast("int").alias("x"), F.floor(F.col("id") / 17).cast("int").alias("y"))
+    grid = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 17).cast("int").alias("x"), (F.col("l_suppkey") % 13).cast("int").alias("y"))
     return grid.where(G.in_polygon(F.col("x"), F.col("y"), TRIANGLE))
 
 

@@ -15,12 +15,14 @@ OVERLAP = f"""ov AS (SELECT p.*, cx.c AS cx, cy.c AS cy,
   FROM px p, (SELECT unnest(range(0, {N}))::INT AS c) cx, (SELECT unnest(range(0, {N}))::INT AS c) cy)"""
 
 
-@query("""WITH t(w, h, tw, th) AS (VALUES (8, 8, 3, 3), (16, 8, 30, 10), (8, 16, 10, 30), (71, 53, 16, 16), (2, 1, 4, 4))
-SELECT w, h, tw, th, round(least(tw / w::DOUBLE, th / h::DOUBLE), 9) AS scale, round((tw - w * least(tw / w::DOUBLE, th / h::DOUBLE)) / 2, 9) AS dx, round((th - h * least(tw / w::DOUBLE, th / h::DOUBLE)) / 2, 9) AS dy FROM t""")
+@query("""WITH t AS (SELECT p_partkey, (p_size + 1)::INT AS w, (p_partkey % 40 + 1)::INT AS h, (p_partkey % 17 + 1)::INT AS tw, (p_size % 23 + 1)::INT AS th FROM part)
+SELECT p_partkey, w, h, tw, th, round(least(tw / w::DOUBLE, th / h::DOUBLE), 9) AS scale, round((tw - w * least(tw / w::DOUBLE, th / h::DOUBLE)) / 2, 9) + 0 AS dx, round((th - h * least(tw / w::DOUBLE, th / h::DOUBLE)) / 2, 9) + 0 AS dy FROM t""")
 def contain_geometry(spark, sf):
-    rows = spark.createDataFrame([(8, 8, 3, 3), (16, 8, 30, 10), (8, 16, 10, 30), (71, 53, 16, 16), (2, 1, 4, 4)], "w int, h int, tw int, th int")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    sizes = {"w": size + 1, "h": key % 40 + 1, "tw": key % 17 + 1, "th": size % 23 + 1}
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", *[c.cast("int").alias(n) for n, c in sizes.items()])
     scale, dx, dy = contain_fit(F.col("w"), F.col("h"), F.col("tw"), F.col("th"))
-    return rows.select("w", "h", "tw", "th", F.round(scale, 9).alias("scale"), F.round(dx, 9).alias("dx"), F.round(dy, 9).alias("dy"))
+    return rows.select("p_partkey", "w", "h", "tw", "th", F.round(scale, 9).alias("scale"), (F.round(dx, 9) + 0).alias("dx"), (F.round(dy, 9) + 0).alias("dy"))
 
 
 @query(f"""WITH {PX}, s AS (SELECT cx, cy, floor((cx + 0.5) / {SCALE}::DOUBLE)::INT AS x, floor((cy + 0.5) / {SCALE}::DOUBLE)::INT AS y FROM (SELECT unnest(range(0, {N}))::INT AS cx), (SELECT unnest(range(0, {N}))::INT AS cy))

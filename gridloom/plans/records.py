@@ -6,8 +6,8 @@ from ..functions import text as X
 from ..operators import layers as L
 from ..operators import pages as P
 from ..operators import validate as V
-from ..sources.tables import PALETTE, palette, parse_palette, tile_cells
-from .base import CELLS, PAL, query
+from ..sources.tables import palette, parse_palette, part_colors, tile_cells
+from .base import CELLS, PAL, PC, query
 
 
 def table(spark, sf, name):
@@ -40,11 +40,11 @@ def sheet_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.sheet_name(F.col("url")).alias("sheet"))
 
 
-@query("""SELECT n, CASE WHEN n <= 26 THEN chr(64 + n) WHEN n <= 702 THEN chr(64 + (n - 1) // 26) || chr(65 + (n - 1) % 26)
-  ELSE chr(65 + (n - 703) // 676) || chr(65 + (n - 703) // 26 % 26) || chr(65 + (n - 703) % 26) END AS name FROM (SELECT unnest(range(1, 2000))::INT AS n)""")
+@query("""SELECT p_partkey, n, CASE WHEN n <= 26 THEN chr(64 + n) WHEN n <= 702 THEN chr(64 + (n - 1) // 26) || chr(65 + (n - 1) % 26)
+  ELSE chr(65 + (n - 703) // 676) || chr(65 + (n - 703) // 26 % 26) || chr(65 + (n - 703) % 26) END AS name FROM (SELECT p_partkey, (p_partkey % 18278 + 1)::INT AS n FROM part)""")
 def column_names(spark, sf):
-    rows = spark.range(1, 2000).select(F.col("id").cast("int").alias("n"))
-    return rows.select("n", X.column_name(F.col("n")).alias("name"))
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 18278 + 1).cast("int").alias("n"))
+    return rows.select("p_partkey", "n", X.column_name(F.col("n")).alias("name"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
@@ -65,18 +65,21 @@ def character_error_rates(spark, sf):
     return part.join(after, "p_partkey").select("p_partkey", F.round(X.character_error_rate(F.col("p_name"), F.col("next")), 6).alias("cer"))
 
 
-@query(f"WITH {PAL}, h AS (SELECT 'ZG' || code AS code, printf('#%02X%02X%02X', r, g, b) AS hex, r, g, b FROM pal UNION ALL SELECT code, '', r, g, b FROM pal) SELECT code, CASE WHEN code LIKE 'ZG%' THEN 'ZG' ELSE left(code, 1) END AS grp, r, g, b FROM h")
+@query(f"WITH {PC}, h AS (SELECT CASE WHEN r % 3 = 0 THEN 'ZG' ELSE '' END || chr(65 + g % 25) || b || '0' || r AS code, r, g, b FROM pc WHERE b % 16 <> 0) SELECT code, CASE WHEN code LIKE 'ZG%' THEN 'ZG' ELSE left(code, 1) END AS grp, r, g, b FROM h")
 def parsed_palette(spark, sf):
-    lines = [(f"{p}{code} , #{r:02x}{g:02X}{b:02x}",) for _, _, code, r, g, b in PALETTE for p in ("ZG", "")] + [("   ",)]
-    return parse_palette(spark.createDataFrame(lines, "value string"))
+    """Lines of a colour for each part; some are blank."""
+    r, g, b = (F.col(c) for c in "rgb")
+    code = F.concat(F.when(r % 3 == 0, "ZG").otherwise(""), F.char(65 + g % 25), b.cast("string"), F.lit("0"), r.cast("string"))
+    line = F.when(b % 16 == 0, "   ").otherwise(F.format_string("%s , #%02x%02X%02x", code, r, g, b))
+    return parse_palette(part_colors(spark, sf).select(line.alias("value")))
 
 
-@query(f"""WITH {PAL}, n AS (SELECT id, code, r, g, b FROM pal WHERE pos < 10), m AS (SELECT id, 'X' || code AS code, 255 - r AS r, g, b FROM pal WHERE pos >= 6)
+@query(f"""WITH {PC}, n AS (SELECT id, 'K' || g AS code, r, g, b FROM pc WHERE r % 3 < 2), m AS (SELECT id, 'XK' || g AS code, 255 - r AS r, g, b FROM pc WHERE r % 3 > 0)
 SELECT coalesce(m.id, n.id) AS id, coalesce(m.code, n.code) AS code, coalesce(m.r, n.r) AS r, coalesce(m.g, n.g) AS g, coalesce(m.b, n.b) AS b FROM n FULL JOIN m ON n.id = m.id""")
 def palette_union(spark, sf):
-    pal = palette(spark)
-    low = pal.where("pos < 10").drop("pos")
-    high = pal.where("pos >= 6").select("id", F.concat(F.lit("X"), "code").alias("code"), (255 - F.col("r")).alias("r"), "g", "b")
+    pal = part_colors(spark, sf).select("id", F.concat(F.lit("K"), F.col("g").cast("string")).alias("code"), "r", "g", "b")
+    low = pal.where("r % 3 < 2")
+    high = pal.where("r % 3 > 0").select("id", F.concat(F.lit("X"), "code").alias("code"), (255 - F.col("r")).alias("r"), "g", "b")
     return L.union_palettes(low, high, "id")
 
 
@@ -125,12 +128,12 @@ def rle_expand(spark, sf):
     return P.expand_runs(P.runs(table(spark, sf, "labels"), "toxic", "doc_id")).select("toxic", "idx")
 
 
-@query("""SELECT n, array_to_string(list_sort(list_distinct(list_concat(flatten(list_transform(range(0, (n + 28) // 29), lambda s: list_transform(list_filter(range(0, 29, 5), lambda o: s * 29 + o < n), lambda o: s * 29 + o))), [n - 1]))), ',') AS guides FROM (SELECT unnest([8, 29, 30, 58, 100, 180]) AS n)""")
+@query("""SELECT p_partkey, n, array_to_string(list_sort(list_distinct(list_concat(flatten(list_transform(range(0, (n + 28) // 29), lambda s: list_transform(list_filter(range(0, 29, 5), lambda o: s * 29 + o < n), lambda o: s * 29 + o))), [n - 1]))), ',') AS guides FROM (SELECT p_partkey, (p_size * 4 + p_partkey % 29)::INT AS n FROM part)""")
 def guide_lines(spark, sf):
-    rows = spark.createDataFrame([(n,) for n in (8, 29, 30, 58, 100, 180)], "n int")
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 4 + F.col("p_partkey") % 29).cast("int").alias("n"))
     starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / 29).cast("int") - 1), lambda s: F.transform(F.array(*[F.lit(o) for o in range(0, 29, 5)]), lambda o: s * 29 + o))
     cells = F.array_sort(F.array_distinct(F.concat(F.filter(F.flatten(starts), lambda c: c < F.col("n")), F.array(F.col("n") - 1))))
-    return rows.select("n", F.array_join(F.transform(cells, lambda c: c.cast("string")), ",").alias("guides"))
+    return rows.select("p_partkey", "n", F.array_join(F.transform(cells, lambda c: c.cast("string")), ",").alias("guides"))
 
 
 @query(f"WITH {CELLS} SELECT grid_id, idx, round((x - 3.5)::DOUBLE * 0.72, 6) AS px, round((3.5 - y)::DOUBLE * 0.72, 6) AS py FROM cells WHERE color IS NOT NULL")
@@ -141,14 +144,19 @@ def bead_placement(spark, sf):
 
 # validation
 
-BAD = [*[p[1:] for p in PALETTE], ("c03", "Q9", 1, 2, 3), ("c90", "K1", 0, 0, 0), ("c91", "Z1", 256, 0, 0), ("c92", "Z2", 0, -1, 0)]
-
-
-@query("WITH p(id, code, r, g, b) AS (VALUES " + ", ".join(map(str, BAD)) + """)
+@query("WITH " + PC + """, p AS (SELECT CASE WHEN r % 16 = 5 THEN 'p' || b ELSE id END AS id, 'K' || id || g % 2 AS code, CASE WHEN b % 64 = 1 THEN r + 250 ELSE r END AS r, g - 5 AS g, b FROM pc
+  UNION ALL SELECT id || 'x', 'K' || id || '1', r, g, b FROM pc WHERE g % 4 = 0)
 SELECT 'repeated id' AS rule, id AS value FROM p GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'repeated code', code FROM p GROUP BY code HAVING count(*) > 1
 UNION ALL SELECT 'channel out of range', id FROM p WHERE NOT (r BETWEEN 0 AND 255 AND g BETWEEN 0 AND 255 AND b BETWEEN 0 AND 255)""")
 def palette_violations(spark, sf):
-    return V.palette_violations(spark.createDataFrame(BAD, "id string, code string, r int, g int, b int"))
+    """Colours of parts with some ids and codes given twice and channels out of range."""
+    pc = part_colors(spark, sf)
+    own = pc.select(
+        F.when(F.col("r") % 16 == 5, F.concat(F.lit("p"), F.col("b").cast("string"))).otherwise(F.col("id")).alias("id"), F.concat(F.lit("K"), "id", (F.col("g") % 2).cast("string")).alias("code"),
+        F.when(F.col("b") % 64 == 1, F.col("r") + 250).otherwise(F.col("r")).alias("r"), (F.col("g") - 5).alias("g"), "b",
+    )
+    more = pc.where("g % 4 = 0").select(F.concat("id", F.lit("x")).alias("id"), F.concat(F.lit("K"), "id", F.lit("1")).alias("code"), "r", "g", "b")
+    return V.palette_violations(own.unionByName(more))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS k, (l_partkey % 50)::INT AS start, (l_suppkey % 9)::INT AS length FROM lineitem),

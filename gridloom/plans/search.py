@@ -15,7 +15,7 @@ from ..operators import validate as V
 from ..sources.tables import palette, tile_cells, tiles
 from .base import CELLS, PAL, PX, lab, lab_of_linear, linear, query, redmean
 from .colors import NEAREST, rgb
-from .grids import STEP4, STEP8, regions_sql
+from .grids import CORNERS, STEP4, STEP8, boxes, regions_sql
 from .images import AREA, OVERLAP, SCALE
 
 
@@ -121,8 +121,9 @@ def skeleton_points(spark, sf):
 
 @query()
 def shape_outlines(spark, sf):
-    rows = spark.createDataFrame([(k, 2 + i, 1, 14 - i, 4 + 2 * i) for k in H.SHAPES for i in range(5)], "kind string, x0 int, y0 int, x1 int, y1 int")
-    return rows.select("*", F.explode(H.shape_cells(*[F.col(c) for c in ("kind", "x0", "y0", "x1", "y1")])).alias("c")).select("kind", "x0", "y0", "x1", "y1", "c.x", "c.y")
+    kinds = F.array(*map(F.lit, H.SHAPES))
+    rows = boxes(spark, sf).withColumn("kind", F.element_at(kinds, (F.col("id") % len(H.SHAPES) + 1).cast("int")))
+    return rows.select("*", F.explode(H.shape_cells(*[F.col(c) for c in ("kind", *CORNERS)])).alias("c")).select("id", "kind", *CORNERS, "c.x", "c.y")
 
 
 @query(f"""WITH {PX}, {OVERLAP}, bn AS (SELECT grid_id, cx, cy, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4) AS key, sum(w) AS weight, sum(w * {linear('r')}) / sum(w) AS lr, sum(w * {linear('g')}) / sum(w) AS lg, sum(w * {linear('b')}) / sum(w) AS lb FROM ov WHERE w > 0 GROUP BY 1, 2, 3, 4),

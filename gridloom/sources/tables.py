@@ -22,6 +22,13 @@ def palette(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PALETTE), PALETTE_SCHEMA)
 
 
+def part_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A colour (id, r, g, b) of each part, from its key and size."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select(F.concat(F.lit("p"), key.cast("string")).alias("id"), (key * 37 % 256).cast("int").alias("r"), (size * 5 % 256).cast("int").alias("g"), ((key * size + 31) % 256).cast("int").alias("b"))
+
+
 def parse_palette(lines: DataFrame) -> DataFrame:
     """Rows of ``value`` = 'code,#RRGGBB' as code, group, r, g, b; blank lines are skipped."""
     parts = F.split(F.trim("value"), r"\s*,\s*")

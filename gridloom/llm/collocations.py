@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bytes of text whose words share a dictionary, and distinct words that a task counts before it passes them on.
+#: Bytes of text whose words share a dictionary, and how many sums a task holds before it passes them on.
 BLOCK, HELD = 8 << 20, 300_000
-#: Bits of the filters that tell tasks which words and pairs may be frequent. Their size is fixed: they only spare work, since
+#: Bits of the filters that tell tasks which words, pairs and triples may be frequent. Their size is fixed: they only spare work, since
 #: whatever passes is counted exactly.
 FILTER_BITS = 26
 _BORDER = b"\xff"  # no byte of UTF-8
@@ -90,7 +90,7 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Coded:
-    """Words as ids of a dictionary, with the words' hashes and which of them may be frequent; id 0 is the border."""
+    """Words as ids of a dictionary (id 0 is the border), and the places and hashes of pairs whose words may both be frequent."""
 
     def __init__(self, lang: str, words: list[bytes], frequent: np.ndarray):
         known = {_BORDER: 0}
@@ -100,42 +100,72 @@ class Coded:
         able = passes(frequent, hashes)
         able[0] = False
         a, b = self.ids[:-1], self.ids[1:]
-        self.at = np.flatnonzero(able[a] & able[b])  # places of pairs whose words may both be frequent
-        z = (hashes[a[self.at]] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[b[self.at]]
-        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pairs = z ^ (z >> np.uint64(29))
+        self.at = np.flatnonzero(able[a] & able[b])
+        self.h = mixed(hashes[a[self.at]], hashes[b[self.at]])
 
+    def keep(self, bits: np.ndarray) -> np.ndarray:
+        """Narrows places and hashes to phrases one word longer, both of whose ends pass; returns the places of those that pass."""
+        ok = passes(bits, self.h)
+        at, h = self.at[ok], self.h[ok]
+        both = np.flatnonzero(at[1:] == at[:-1] + 1)
+        self.at, self.h = at[both], mixed(h[both], h[both + 1])
+        return at
 
-def frequent_pair_hashes(df: DataFrame, words: Broadcast, least: int) -> DataFrame:
-    """(h): hashes of neighbouring words that occur ``least`` times; collisions can only add to them."""
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = (a * np.uint64(0x9E3779B97F4A7C15)) ^ b
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(29))
+
+
+def frequent_hashes(df: DataFrame, words: Broadcast, shorter: list[Broadcast], least: int) -> DataFrame:
+    """(h): hashes of phrases of len(shorter) + 2 words that occur ``least`` times; collisions can only add to them.
+
+    A task passes sums over its texts on, whenever it holds HELD of them.
+    """
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return h, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], names=["h", "n"])
         for lang, found in words_by_lang(batches):
-            h, n = np.unique(Coded(lang, found, words.value).pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            c = Coded(lang, found, words.value)
+            for bits in shorter:
+                c.keep(bits.value)
+            parts.append(np.unique(c.h, return_counts=True))
+            if sum(len(h) for h, _ in parts) > 4 * HELD:
+                parts = [summed(parts)]
+                if len(parts[0][0]) > 2 * HELD:
+                    yield rows(parts[0])
+                    parts = []
+        if parts:
+            yield rows(summed(parts))
 
     return df.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
-def windows(df: DataFrame, words: Broadcast, pairs: Broadcast, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, n): from each place on the words that follow, up to ``longest`` and while neighbours may be a frequent pair.
+def windows(df: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, n): from each place on the words that follow, up to ``longest`` and while they may be frequent pairs and triples.
 
-    Equal windows are one row with their number. Every phrase of frequent pairs begins as many windows as it occurs.
+    Equal windows are one row with their number. Every frequent phrase begins as many windows as it occurs.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in words_by_lang(batches):
             c = Coded(lang, found, words.value)
-            linked = np.zeros(len(found) + longest, bool)
-            linked[c.at] = passes(pairs.value, c.pairs)
-            at = np.flatnonzero(linked)
+            at = c.keep(pairs.value)
             if not len(at):
                 continue
+            linked = np.zeros(len(found) + longest, bool)
+            linked[c.keep(triples.value)] = True
             ids = np.concatenate([c.ids, np.zeros(longest, np.int64)])
-            columns, open_ = [ids[at]], np.ones(len(at), bool)
-            number = ids[at]
-            for k in range(1, longest):
-                open_ = open_ & linked[at + k - 1]
+            columns, open_ = [ids[at], ids[at + 1]], np.ones(len(at), bool)
+            number, _ = pd.factorize(ids[at] * len(c.words) + ids[at + 1])
+            for k in range(2, longest):
+                open_ = open_ & linked[at + k - 2]
                 columns.append(np.where(open_, ids[at + k], 0))
                 number, _ = pd.factorize(number * len(c.words) + columns[-1])
             _, first, n = np.unique(number, return_index=True, return_counts=True)
@@ -241,9 +271,9 @@ def scored(candidates: DataFrame, counts: DataFrame, totals: DataFrame) -> DataF
 def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``top`` phrases of 2 to ``longest`` words in the rows of ``df`` (text, lang).
 
-    Words, pairs of words that may both be frequent, then windows of frequent pairs are counted over all texts, each with sums in the
-    tasks before rows move; a prefix's windows go to one task, which grows it depth first (a hot prefix is split into longer
-    ones). Counts are exact: the two filters can only let too much through. A phrase inside a longer one that occurs as often goes: it is
+    Words, pairs of words that may be frequent, triples of such pairs, then windows of these are counted over all texts, each with
+    sums in the tasks before rows move; a prefix's windows go to one task, which grows it depth first (a hot prefix is split into
+    longer ones). Counts are exact: the filters can only let too much through. A phrase inside a longer one that occurs as often goes: it is
     enough to look at phrases one word longer, as counts can't rise with length. A null text is empty; a null
     lang is ``und``; repeated rows count each; other columns are ignored; an empty table, or one without a frequent phrase, gives no rows.
     """
@@ -254,8 +284,10 @@ def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, top:
     totals = scratch.table(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = counted.where(F.col("n") >= least)
     able = spark.sparkContext.broadcast(bit_filter(words.select(F.xxhash64("lang", "phrase").alias("h"))))
-    pairs = spark.sparkContext.broadcast(bit_filter(frequent_pair_hashes(docs, able, least)))
-    found = scratch.table(windows(docs, able, pairs, longest), "windows")
+    shorter = []
+    for _ in range(2):
+        shorter.append(spark.sparkContext.broadcast(bit_filter(frequent_hashes(docs, able, shorter, least))))
+    found = scratch.table(windows(docs, able, *shorter, longest), "windows")
     phrases = scratch.table(phrase_counts(found, scratch, least, longest), "phrases")
     w = F.split("phrase", " ")
     ends = F.explode(F.array(F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " "), F.array_join(F.slice(w, F.lit(2), F.size(w) - 1), " ")))

@@ -82,3 +82,11 @@ def test_large_numbers_are_exact(spark):
     counts = spark.createDataFrame([("en", "a", big + 9), ("en", "b", big + 1), ("en", "a b", big)], "lang string, phrase string, n long")
     totals = spark.createDataFrame([("en", 10**14 + 3)], "lang string, n long")
     assert C.scored(cand, counts, totals).first().score == 1000 * big * (10**14 + 3) // ((big + 9) * (big + 1))
+
+
+def test_filters_of_one_word_only_spare_work(spark, monkeypatch):
+    """With filters of 64 bits nearly everything passes: the counts stay exact."""
+    monkeypatch.setattr(C, "FILTER_BITS", 6)
+    rows = corpus(1, 120)
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(map(tuple, C.collocations(df, 4, 5, 500).collect())) == plainly(rows, 4, 5, 500)

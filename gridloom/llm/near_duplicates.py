@@ -24,6 +24,8 @@ PRINTS, SHARED = 4, 4
 WORTH, ROUNDS = 0.05, 6
 #: Ranges of a sketch of the shingles. Texts of few distinct words have alike word fingerprints; their shingles tell them apart.
 BINS = 512
+#: Lists up to so many rows are compared side by side, all lists of a task at once; both ways compare all that may be alike.
+SHORT = 16
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -160,6 +162,30 @@ class Lists:
         for s, m in zip(starts[sizes >= least].tolist(), sizes[sizes >= least].tolist(), strict=True):
             yield np.arange(s, s + m)
 
+    def side_by_side(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The plausible pairs within lists of up to SHORT rows."""
+        starts = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(self.key)])
+        ends = np.repeat(starts + np.where(sizes <= SHORT, sizes, 0), sizes)  # a long list's rows have no partner here
+        for gap in range(1, SHORT):
+            left = np.flatnonzero(np.arange(len(self.key)) + gap < ends)
+            for at in range(0, len(left), 1 << 17):
+                a = left[at : at + (1 << 17)]
+                a = a[self.node[a] != self.node[a + gap]]
+                b = a + gap
+                x = self.prints[a] ^ self.prints[b]
+                own = np.take_along_axis(x, (self.list[a] // len(position_keys(SHARED)))[:, None], axis=1)[:, 0]
+                ok = (np.minimum(self.n[a], self.n[b]) >= LEAST * np.maximum(self.n[a], self.n[b])) & (tally(own, np.zeros_like(own)) >= SHARED)
+                ok &= np.bitwise_count(x).sum(axis=1) <= np.maximum(self.far[a], self.far[b])
+                yield self.sketched(a[ok], b[ok])
+
+    def sketched(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose sketches allow it, where there are sketches."""
+        if self.sketch is None or not len(a):
+            return a, b
+        ok = sketch_ok(self.sketch[a], self.sketch[b], self.n[a] + self.n[b])
+        return a[ok], b[ok]
+
     def plausible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A matrix: which rows a and b of one list may be alike by the count filter, the sizes of their sets, and the bits of all fingerprints."""
         k = int(self.list[a[0]]) // len(position_keys(SHARED))
@@ -190,10 +216,7 @@ class Lists:
             if once:
                 new = ~self.met_before(x, y) & (self.group[x] != self.group[y])
                 x, y = x[new], y[new]
-            if self.sketch is not None:
-                ok = sketch_ok(self.sketch[x], self.sketch[y], self.n[x] + self.n[y])
-                x, y = x[ok], y[ok]
-            yield x, y
+            yield self.sketched(x, y)
 
     def centres(self, rows: np.ndarray) -> np.ndarray:
         """The rows nearest to the rows' majority fingerprints, over all prints."""
@@ -218,7 +241,9 @@ def open_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(key, list, node) of the rows that have a plausible partner in their list."""
     rows = Lists(batches)
     found = np.zeros(len(rows.key), bool)
-    for own in rows.each():
+    for a, b in rows.side_by_side():
+        found[a] = found[b] = True
+    for own in rows.each(SHORT + 1):
         hub = rows.centres(own)[:1]
         for at in (own, None):
             left = own[~found[own]]
@@ -228,11 +253,11 @@ def open_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def centre_pairs(first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """In each list the rows with those nearest to its majority; after the first round, nearest to that of the rows outside the largest group."""
+    """In each list of more than SHORT rows the rows with those nearest to its majority; after the first round, nearest to that of the rows outside the largest group."""
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = Lists(batches)
-        for own in rows.each(3):
+        for own in rows.each(SHORT + 1):
             outside = rows.others(own)
             if len(outside):
                 for a, b in rows.blocks(rows.centres(own if first else outside), own):
@@ -244,7 +269,9 @@ def centre_pairs(first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In each list all plausible pairs of rows of different groups."""
     rows = Lists(batches)
-    for own in rows.each():
+    for a, b in rows.side_by_side():
+        yield rows.pairs(a, b)
+    for own in rows.each(SHORT + 1):
         outside = rows.others(own)
         if len(outside):
             for a, b in rows.blocks(outside, own, once=True):
@@ -285,7 +312,7 @@ def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFram
     between them would join nothing. Last, all plausible pairs of different groups are verified, so no pair is left out.
     """
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PRINTS * len(position_keys(SHARED)) // 500_000))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PRINTS * len(position_keys(SHARED)) // 250_000))
     open_ = postings(nodes.withColumn("group", F.col("node"))).repartition(tasks, "key").mapInPandas(open_postings, "key long, list int, node long")
     open_ = scratch.table(open_, "lists")
     ends = scratch.table(open_.select("node").distinct().join(nodes, "node"), "ends")

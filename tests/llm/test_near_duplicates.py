@@ -116,7 +116,17 @@ def pairs(how, *batches):
     return {(int(a), int(b)) for p in how(iter(batches)) for a, b in zip(p["a"], p["b"], strict=True)}
 
 
-def test_what_meets_in_a_list():
+def test_short_and_long_lists_compare_the_same_pairs(monkeypatch):
+    rng = random.Random(12)
+    fps = [rng.getrandbits(63) for _ in range(3)]
+    batch = pd.concat([lists(range(n), [rng.choice(fps) ^ (1 << rng.randrange(63)) for _ in range(n)], far=12).assign(key=n) for n in range(1, 30)])
+    got = pairs(N.other_pairs, batch), set(pd.concat(N.open_postings(iter([batch])))["node"])
+    monkeypatch.setattr(N, "SHORT", 1)
+    assert got == (pairs(N.other_pairs, batch), set(pd.concat(N.open_postings(iter([batch])))["node"])) and len(got[0]) > 20
+
+
+def test_what_meets_in_a_list(monkeypatch):
+    monkeypatch.setattr(N, "SHORT", 2)
     assert pairs(N.other_pairs, lists([0, 0, 2, 3], [5, 5, 5, 5])) == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
     assert pairs(N.other_pairs, lists([0, 1], [0, -1])) == set()  # too few shared bytes
     assert pairs(N.other_pairs, lists([0, 1], [0, 0b111], far=11)) == set()  # four prints with three other bits
@@ -176,7 +186,8 @@ def test_sketches_pass_what_is_alike():
     assert not rows(np.sort(pool[:200]), np.sort(np.concatenate([pool[:165], pool[205:240]])))
 
 
-def test_a_pair_is_judged_in_one_list():
+def test_a_pair_is_judged_in_one_list(monkeypatch):
+    monkeypatch.setattr(N, "SHORT", 1)
     rng = random.Random(11)
     fps = [rng.getrandbits(63)]
     fps += [fps[0] ^ (1 << rng.randrange(63)) ^ (rng.randrange(256) << 8 * rng.randrange(7)) for _ in range(15)]

@@ -51,17 +51,15 @@ def pair_reliability(spark, sf):
     return rows.select("grid_id", "cx", "cy", *[F.round(c, 6).alias(n) for c, n in names.items()])
 
 
-_PIXELS = {"n": F.lit(1), "red": F.col("r"), "light": F.col("r") + F.col("g") + F.col("b")}
-
-
 @query(f"""WITH {PX} SELECT c.grid_id, c.idx, count(*)::BIGINT AS n, sum(p.r)::BIGINT AS red, sum(p.r + p.g + p.b)::BIGINT AS light FROM px c JOIN px p ON p.grid_id = c.grid_id AND abs(p.x - c.x) <= 2 AND abs(p.y - c.y) <= 2 GROUP BY 1, 2""")
 def local_sums(spark, sf):
     """Sums over the 5 x 5 pixels around each pixel."""
     px = tiles(spark, sf)
+    values = {"n": F.lit(1), "red": F.col("r"), "light": F.col("r") + F.col("g") + F.col("b")}
     low, high = (lambda c: F.greatest(F.lit(0.0), F.col(c) - 2.0)), (lambda c: F.least(F.lit(8.0), F.col(c) + 3.0))
     boxes = px.select("grid_id", F.col("idx").alias("box"), low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
-    sums = L.box_sums(L.summed_areas(px, _PIXELS), boxes, [*_PIXELS])
-    return sums.select("grid_id", F.col("box").alias("idx"), *[F.round(c).cast("long").alias(c) for c in _PIXELS])
+    sums = L.box_sums(L.summed_areas(px, values), boxes, [*values])
+    return sums.select("grid_id", F.col("box").alias("idx"), *[F.round(c).cast("long").alias(c) for c in values])
 
 
 def _structure(cells: str, name: str) -> str:
@@ -88,7 +86,7 @@ def structure_errors(spark, sf):
     return L.structure_errors(cells, even)
 
 
-_STROKES = """st AS (SELECT l_suppkey AS image, l_orderkey * 8 + l_linenumber AS stroke, l_quantity::DOUBLE / 50 AS ok_l, (l_discount::DOUBLE - 0.05) * 4 AS ok_a, (l_tax::DOUBLE - 0.04) * 4 AS ok_b,
+_STROKES = """st AS (SELECT l_suppkey AS image, l_orderkey * 8 + l_linenumber AS stroke, l_quantity::DOUBLE / 50 AS ok_l, (l_discount::DOUBLE - 0.05) * 3.7::DOUBLE AS ok_a, (l_tax::DOUBLE - 0.04) * 3.7::DOUBLE AS ok_b,
   1 + l_partkey % 97 AS area, 1 + l_orderkey % 13 AS span, 0.9::DOUBLE AS support FROM lineitem)"""
 
 
@@ -100,8 +98,8 @@ SELECT image, stroke, least(3, own + coalesce(met, 0))::INT AS repetitions, roun
 def repeated_strokes(spark, sf):
     key = F.col("l_orderkey")
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        F.col("l_suppkey").alias("image"), (key * 8 + F.col("l_linenumber")).alias("stroke"), (F.col("l_quantity").cast("double") / 50).alias(C.OK[0]), ((F.col("l_discount").cast("double") - 0.05) * 4).alias(C.OK[1]),
-        ((F.col("l_tax").cast("double") - 0.04) * 4).alias(C.OK[2]), (1 + F.col("l_partkey") % 97).alias("area"), (1 + key % 13).alias("span"), F.lit(0.9).alias("support"),
+        F.col("l_suppkey").alias("image"), (key * 8 + F.col("l_linenumber")).alias("stroke"), (F.col("l_quantity").cast("double") / 50).alias(C.OK[0]), ((F.col("l_discount").cast("double") - 0.05) * 3.7).alias(C.OK[1]),
+        ((F.col("l_tax").cast("double") - 0.04) * 3.7).alias(C.OK[2]), (1 + F.col("l_partkey") % 97).alias("area"), (1 + key % 13).alias("span"), F.lit(0.9).alias("support"),
     )
     return L.repeated_strokes(rows).withColumn("support", F.round("support", 9))
 

@@ -142,12 +142,12 @@ def structure_errors(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def repeated_strokes(strokes: DataFrame) -> DataFrame:
-    """(image, stroke, repetitions, support): strokes (image, stroke, ok_l, ok_a, ok_b, area, span, support) with alike ones in the image.
+    """(image, stroke, repetitions, support): strokes (image, stroke, ok_l, ok_a, ok_b, area, span, support) with alike ones in the image; stroke numbers are unique in an image.
 
     Alike are strokes with colours less than 0.08 apart, areas within a factor of 4 and spans within 2. Of each bin (a 25th of each
     colour axis, powers of two of area and span) the first three by number count as witnesses; up to three repetitions are kept, the
     stroke itself among them, and the third divides the support by e. A stroke in a bin of three is done, so a crowded bin takes part
-    only with its witnesses; the others meet witnesses through coarse cells as wide as the limits, one of whose neighbours holds any alike stroke.
+    only with its witnesses; the others meet witnesses through coarse cells wider than the limits, one of whose neighbours holds any alike stroke.
     """
     fine = [F.floor(F.col(c) * 25) for c in C.OK] + [F.floor(F.log2(c)) for c in ("area", "span")]
     rows = strokes.withColumn("bin", F.array(*[f.cast("long") for f in fine]))
@@ -155,7 +155,8 @@ def repeated_strokes(strokes: DataFrame) -> DataFrame:
     place = F.row_number().over(own.orderBy("stroke"))
     sizes = rows.groupBy("image", "bin").agg(F.count(F.lit(1)).alias("own"))
     first = rows.withColumn("_at", place).where("_at <= 3").drop("_at")
-    coarse = [F.floor(F.col("ok_l") / 0.08), F.floor(F.log2("area") / 2), F.floor(F.log2("span"))]
+    # A little wider than the limits, so that rounding can't part what lies just within one.
+    coarse = [F.floor(F.col("ok_l") / 0.081), F.floor(F.log2("area") / 2.01), F.floor(F.log2("span") / 1.01)]
     witness = first.select("image", F.array(*[c.cast("long") for c in coarse]).alias("cell"), F.col("bin").alias("wbin"), *[F.col(c).alias(f"w{c}") for c in (*C.OK, "area", "span")])
     known = rows.join(sizes, ["image", "bin"])
     steps = F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])

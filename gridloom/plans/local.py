@@ -86,7 +86,7 @@ def structure_errors(spark, sf):
     return L.structure_errors(cells, even)
 
 
-_STROKES = """st AS (SELECT l_suppkey AS image, l_orderkey * 8 + l_linenumber AS stroke, l_quantity::DOUBLE / 50 AS ok_l, (l_discount::DOUBLE - 0.05) * 3.7::DOUBLE AS ok_a, (l_tax::DOUBLE - 0.04) * 3.7::DOUBLE AS ok_b,
+_STROKES = """st AS (SELECT l_suppkey AS image, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey * 60 + l_quantity::BIGINT AS stroke, l_quantity::DOUBLE / 50 AS ok_l, (l_discount::DOUBLE - 0.05) * 3.7::DOUBLE AS ok_a, (l_tax::DOUBLE - 0.04) * 3.7::DOUBLE AS ok_b,
   1 + l_partkey % 97 AS area, 1 + l_orderkey % 13 AS span, 0.9::DOUBLE AS support FROM lineitem)"""
 
 
@@ -98,7 +98,7 @@ SELECT image, stroke, least(3, own + coalesce(met, 0))::INT AS repetitions, roun
 def repeated_strokes(spark, sf):
     key = F.col("l_orderkey")
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        F.col("l_suppkey").alias("image"), (key * 8 + F.col("l_linenumber")).alias("stroke"), (F.col("l_quantity").cast("double") / 50).alias(C.OK[0]), ((F.col("l_discount").cast("double") - 0.05) * 3.7).alias(C.OK[1]),
+        F.col("l_suppkey").alias("image"), ((key * 8 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey") * 60 + F.col("l_quantity").cast("long")).alias("stroke"), (F.col("l_quantity").cast("double") / 50).alias(C.OK[0]), ((F.col("l_discount").cast("double") - 0.05) * 3.7).alias(C.OK[1]),
         ((F.col("l_tax").cast("double") - 0.04) * 3.7).alias(C.OK[2]), (1 + F.col("l_partkey") % 97).alias("area"), (1 + key % 13).alias("span"), F.lit(0.9).alias("support"),
     )
     return L.repeated_strokes(rows).withColumn("support", F.round("support", 9))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .components import joined
 from .simhash import _LOWER, keep_rows, list_keys, majority, position_keys, tally
 
@@ -140,7 +140,7 @@ def postings(nodes: DataFrame) -> DataFrame:
                     yield out.assign(key=keys.reshape(-1).view(np.int64), list=np.tile(np.arange(k * lists, (k + 1) * lists), len(part)))[_ROW]
 
     rows = nodes.where(F.size("prints") == PRINTS)
-    return rows.select("node", *[F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)], "n", "far", "group").mapInPandas(index, _TYPES)
+    return rows.select("node", *[F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)], "n", "far", "group").mapInPandas(lean(index), _TYPES)
 
 
 class Lists:
@@ -301,7 +301,7 @@ def _sets(df: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"node": node[same], "s": [s.tobytes() for s in kept], "sketch": [sketch(s) for s in kept]})
 
     texts = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(nodes, "doc_id").select("node", "text").mapInPandas(values, "node long, s binary, sketch binary").dropDuplicates(["node"])
+    return texts.join(nodes, "doc_id").select("node", "text").mapInPandas(lean(values), "node long, s binary, sketch binary").dropDuplicates(["node"])
 
 
 def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -313,7 +313,7 @@ def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFram
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PRINTS * len(position_keys(SHARED)) // 250_000))
-    open_ = postings(nodes.withColumn("group", F.col("node"))).repartition(tasks, "key").mapInPandas(open_postings, "key long, list int, node long")
+    open_ = postings(nodes.withColumn("group", F.col("node"))).repartition(tasks, "key").mapInPandas(lean(open_postings), "key long, list int, node long")
     open_ = scratch.table(open_, "lists")
     ends = scratch.table(open_.select("node").distinct().join(nodes, "node"), "ends")
     sets = scratch.table(_sets(df, ends.select("node", "doc_id")), "sets")
@@ -325,7 +325,7 @@ def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFram
         if last:  # fewer lists, and rows with their sketches
             apart = rows.groupBy("key").agg((F.min("group") != F.max("group")).alias("apart")).where("apart").select("key")
             rows = rows.join(apart, "key", "left_semi").join(sets.select("node", "sketch"), "node")
-        pairs = rows.repartition("key").mapInPandas(other_pairs if last else centre_pairs(turn == 0), "a long, b long").distinct()
+        pairs = rows.repartition("key").mapInPandas(lean(other_pairs if last else centre_pairs(turn == 0)), "a long, b long").distinct()
         new = scratch.table(verified(scratch.table(pairs, "pairs"), sets), "links")
         len_links = new.count()
         first = len_links if first is None else first

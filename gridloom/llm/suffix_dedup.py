@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bwt import Collection, least_owner
-from .common import Scratch
+from .common import Scratch, lean
 
 MATCH, GRAM = 50, 16
 WINDOWS = MATCH - GRAM + 1  # windows at an anchor: starts from 34 bytes before it up to it
@@ -373,13 +373,13 @@ class RepeatedStrings:
         blocks = max(1, -(-total // max(block_bytes, min(MOST_BYTES, int((576 * total) ** 0.5)))))
         buckets = min(blocks, BUCKETS)
         docs = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "_block")
-        self.blocks = self.scratch.table(docs.groupBy("_block").applyInArrow(_pack(min(block_bytes, BLOCK_BYTES)), "_block int, part int, data binary"), "blocks")
-        anchors = self.blocks.groupBy("_block").applyInPandas(_send_anchors(buckets), "bucket int, _block int, anchors binary, many binary")
-        marks = self.scratch.table(anchors.groupBy("bucket").applyInPandas(_mark_anchors(hot), "_block int, bucket int, n long, marked binary"), "marks")
-        cut = self.blocks.groupBy("_block").cogroup(marks.groupBy("_block")).applyInPandas(_cut_segments(buckets), "bucket int, _block int, kind int, n long, data binary")
+        self.blocks = self.scratch.table(docs.groupBy("_block").applyInArrow(lean(_pack(min(block_bytes, BLOCK_BYTES))), "_block int, part int, data binary"), "blocks")
+        anchors = self.blocks.groupBy("_block").applyInPandas(lean(_send_anchors(buckets)), "bucket int, _block int, anchors binary, many binary")
+        marks = self.scratch.table(anchors.groupBy("bucket").applyInPandas(lean(_mark_anchors(hot)), "_block int, bucket int, n long, marked binary"), "marks")
+        cut = self.blocks.groupBy("_block").cogroup(marks.groupBy("_block")).applyInPandas(lean(_cut_segments(buckets)), "bucket int, _block int, kind int, n long, data binary")
         self.segments = self.scratch.table(cut, "segments")
         self.scratch.drop(marks)
-        verdicts = self.segments.where("kind = 0").select("bucket", "_block", "data").groupBy("bucket").applyInPandas(_judge_segments, "_block int, bucket int, owners binary, masks binary")
+        verdicts = self.segments.where("kind = 0").select("bucket", "_block", "data").groupBy("bucket").applyInPandas(lean(_judge_segments), "_block int, bucket int, owners binary, masks binary")
         self.verdicts = self.scratch.table(verdicts, "verdicts")
 
     def apply(self, function: Callable[[Block, Iterator[np.ndarray]], pa.Table], schema: str | StructType) -> DataFrame:
@@ -392,7 +392,7 @@ class RepeatedStrings:
             block = Block(list(zip(rows.column("part").to_pylist(), rows.column("data").to_pylist(), strict=True)))
             return function(block, _removed(block, found))
 
-        return self.blocks.groupBy("_block").cogroup(places.unionByName(verdicts).groupBy("_block")).applyInArrow(remove, schema)
+        return self.blocks.groupBy("_block").cogroup(places.unionByName(verdicts).groupBy("_block")).applyInArrow(lean(remove), schema)
 
 
 def remove_repeats(df: DataFrame, scratch: Scratch | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import history as H
 from ..operators import workspace as W
 from ..sources.tables import layer_cells, palette, tile_cells, tiles
 from .base import CELLS, LAYERS, PAL, PX, lab, query, redmean
@@ -25,6 +26,23 @@ def undo_versions(spark, sf):
     return W.latest_versions(rows, "board", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
+_BACK, _ON = "op = 'undo' AND len(past) > 0", "op = 'redo' AND len(future) > 0"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS board, event_id AS version, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS op,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+s AS (SELECT DISTINCT board, 0::BIGINT AS seq, NULL::BIGINT AS version, NULL::BIGINT AS shown, []::BIGINT[] AS past, []::BIGINT[] AS future FROM e
+  UNION ALL SELECT e.board, e.seq, e.version, CASE WHEN op = 'edit' THEN e.version WHEN {_BACK} THEN past[len(past)] WHEN {_ON} THEN future[len(future)] ELSE shown END,
+    CASE WHEN op = 'edit' THEN list_append(past, shown)[greatest(1, len(past) - 38):] WHEN {_BACK} THEN past[1:len(past) - 1] WHEN {_ON} THEN list_append(past, shown) ELSE past END,
+    CASE WHEN op = 'edit' THEN [] WHEN {_BACK} THEN list_append(future, shown) WHEN {_ON} THEN future[1:len(future) - 1] ELSE future END
+  FROM s JOIN e ON e.board = s.board AND e.seq = s.seq + 1)
+SELECT board, version, shown, len(past)::INT AS undoable, len(future)::INT AS redoable FROM s WHERE seq > 0""")
+def undo_redo(spark, sf):
+    op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("board"), F.col("event_id").alias("version"), op.alias("op"), "ts", "event_id")
+    return H.replay(rows, ["ts", "event_id"])
+
+
 @query(f"WITH {LAYERS} SELECT cell, z, visible, z = 3 AND visible AS shown FROM layers")
 def active_layer_view(spark, sf):
     return W.solo_view(layer_cells(spark, sf), 3).select("cell", "z", "visible", "shown")

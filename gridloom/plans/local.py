@@ -1,4 +1,4 @@
-"""Queries on local evidence: regions of images, pairs of cells, holes, repeated strokes, trees."""
+"""Queries on local evidence: regions of images, pairs of cells, holes, thinning, repeated strokes, trees."""
 
 from pyspark.sql import functions as F
 
@@ -6,6 +6,7 @@ from ..functions import color as C
 from ..operators import local as L
 from ..operators import workspace as W
 from ..operators.rounds import ascend
+from ..operators.thinning import thinned
 from ..sources.tables import tile_cells, tiles
 from .base import CELLS, PX, lab_of_linear, linear, query
 from .grids import STEP8, regions_sql
@@ -86,6 +87,28 @@ def structure_errors(spark, sf):
     return L.structure_errors(cells, even)
 
 
+_RING = (1, -9, -10, -11, -1, 9, 10, 11)
+_EMPTY = [f"(c[p + 1 + {d}] < 0)::INT" for d in _RING]
+_TURNS = " + ".join(f"{_EMPTY[k]} * (1 - {_EMPTY[k + 1]} * {_EMPTY[(k + 2) % 8]})" for k in (0, 2, 4, 6))
+_WEAKER = " OR ".join(f"able[p + 1 + {d}] BETWEEN 0 AND c[p + 1] - 1" for d in _RING)
+
+
+#: Rounds over lists of 10 x 10 places, of which the outer are empty.
+_THINNED = f"""WITH RECURSIVE {PX}, s0 AS (SELECT grid_id, x, y, row_number() OVER (PARTITION BY grid_id ORDER BY v, y % 2, x % 2, idx) - 1 AS k FROM px WHERE v >= 96),
+g AS (SELECT DISTINCT grid_id FROM s0), start_ AS (SELECT g.grid_id, list(coalesce(k, -1) ORDER BY p) AS c FROM g CROSS JOIN (SELECT unnest(range(100)) AS p) LEFT JOIN s0 ON s0.grid_id = g.grid_id AND (s0.y + 1) * 10 + s0.x + 1 = p GROUP BY 1),
+r AS (SELECT grid_id, 0 AS round, c FROM start_ UNION ALL SELECT grid_id, round + 1, list_transform(range(100), lambda p: CASE WHEN able[p + 1] >= 0 AND NOT coalesce({_WEAKER}, false) THEN -1 ELSE c[p + 1] END)
+  FROM (SELECT grid_id, round, c, list_transform(range(100), lambda p: CASE WHEN c[p + 1] >= 0 AND {_TURNS} = 1 THEN c[p + 1] ELSE -1 END) AS able FROM r) WHERE list_max(able) >= 0),
+last_ AS (SELECT grid_id, unnest(arg_max(c, round)) AS k, unnest(range(100)) AS p FROM r GROUP BY 1)
+SELECT grid_id, (p % 10 - 1)::INT AS x, (p // 10 - 1)::INT AS y FROM last_ WHERE k >= 0"""
+
+
+@query(_THINNED)
+def thinned_loops(spark, sf):
+    """The occupied cells of tiles, thinned to closed lines and single cells, the darkest first."""
+    cells = tile_cells(spark, sf).join(tiles(spark, sf).select("grid_id", "idx", "v"), ["grid_id", "idx"])
+    return thinned(cells, F.col("v"))
+
+
 _STROKES = """st AS (SELECT l_suppkey AS image, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey * 60 + l_quantity::BIGINT AS stroke, l_quantity::DOUBLE / 50 AS ok_l, (l_discount::DOUBLE - 0.05) * 3.7::DOUBLE AS ok_a, (l_tax::DOUBLE - 0.04) * 3.7::DOUBLE AS ok_b,
   1 + l_partkey % 97 AS area, 1 + l_orderkey % 13 AS span, 0.9::DOUBLE AS support FROM lineitem)"""
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the session names (a temporary one only where one machine runs all and none is named)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, in the one that ``spark.checkpoint.dir`` names (a temporary one only where one machine runs all and none is named)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +21,12 @@ def settled(df: DataFrame) -> DataFrame:
             atexit.register(folder.cleanup)
             root = "file://" + folder.name
         sc.setCheckpointDir(root)
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..operators import cache
 from ..operators import local as L
 from ..operators import workspace as W
-from ..operators.rounds import ascend
+from ..operators.rounds import ascend, shared_folder
 from ..operators.thinning import thinned
 from ..sources.tables import tile_cells, tiles
 from .base import CELLS, PX, lab_of_linear, linear, query
@@ -52,6 +53,22 @@ def pair_reliability(spark, sf):
     return rows.select("grid_id", "cx", "cy", *[F.round(c, 6).alias(n) for c, n in names.items()])
 
 
+_SWAPPED = "x - grid_id % 6 IN (0, 1) AND y - grid_id // 6 % 6 IN (0, 1, 2)"
+SWAPPED = PX.replace("px AS (", "px0 AS (", 1) + f""", px AS (SELECT grid_id, idx, x, y, v, CASE WHEN {_SWAPPED} THEN g ELSE r END AS r, CASE WHEN {_SWAPPED} THEN r ELSE g END AS g, b,
+  CASE WHEN {_SWAPPED} THEN 255 ELSE a END AS a FROM px0)"""
+
+
+@query(f"WITH RECURSIVE {EVIDENCE.replace(PX, SWAPPED, 1)} SELECT grid_id, cx, cy, {', '.join(f'round({c}, 6) AS {c}' for c in _EVIDENCE)} FROM ev")
+def evidence_again(spark, sf):
+    """Evidence of the tiles from the table that keeps it, computed again where a box of 2 x 3 pixels of each tile is changed."""
+    px = tiles(spark, sf)
+    inside = (F.col("x") - F.col("grid_id") % 6).isin(0, 1) & (F.col("y") - F.floor(F.col("grid_id") / 6) % 6).isin(0, 1, 2)
+    now = px.withColumns({"r": F.when(inside, F.col("g")).otherwise(F.col("r")), "g": F.when(inside, F.col("r")).otherwise(F.col("g")), "a": F.when(inside, 255).otherwise(F.col("a"))})
+    held = cache.cached_evidence(px, shared_folder(spark) + "/evidence", 8, 8, N, N)
+    rows = cache.evidence_again(held, now, cache.changed_boxes(px, now), 8, 8, N, N)
+    return rows.select("grid_id", "cx", "cy", *[F.round(c, 6).alias(c) for c in _EVIDENCE])
+
+
 @query(f"""WITH {PX} SELECT c.grid_id, c.idx, count(*)::BIGINT AS n, sum(p.r)::BIGINT AS red, sum(p.r + p.g + p.b)::BIGINT AS light FROM px c JOIN px p ON p.grid_id = c.grid_id AND abs(p.x - c.x) <= 2 AND abs(p.y - c.y) <= 2 GROUP BY 1, 2""")
 def local_sums(spark, sf):
     """Sums over the 5 x 5 pixels around each pixel."""

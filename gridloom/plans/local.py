@@ -122,8 +122,7 @@ SELECT grid_id, (p % 10 - 1)::INT AS x, (p // 10 - 1)::INT AS y FROM last_ WHERE
 @query(_THINNED)
 def thinned_loops(spark, sf):
     """The occupied cells of tiles, thinned to closed lines and single cells, the darkest first."""
-    cells = tile_cells(spark, sf).join(tiles(spark, sf).select("grid_id", "idx", "v"), ["grid_id", "idx"])
-    return thinned(cells, F.col("v"))
+    return thinned(tiles(spark, sf).withColumn("color", F.when(F.col("v") >= 96, "k")), F.col("v"))
 
 
 _STROKES = """st AS (SELECT l_suppkey AS image, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey * 60 + l_quantity::BIGINT AS stroke, l_quantity::DOUBLE / 50 AS ok_l, (l_discount::DOUBLE - 0.05) * 3.7::DOUBLE AS ok_a, (l_tax::DOUBLE - 0.04) * 3.7::DOUBLE AS ok_b,

@@ -39,7 +39,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Queries that label regions run one grid a time in Python.
-REGIONS = ("components", "color_components", "diagonal_components", "flood_region", "background_flood", "component_descriptors", "energy_terms")
+REGIONS = ("components", "color_components", "diagonal_components", "flood_region", "background_flood", "component_descriptors", "energy_terms",
+           "grid_holes", "structure_errors", "region_evidence", "pair_reliability", "evidence_again")
 #: Folds whose every step depends on the one before.
 FOLDS = ("undo_redo",)
 NATIVE = [n for n in SQL if n not in REGIONS + FOLDS]

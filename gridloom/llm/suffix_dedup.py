@@ -1,13 +1,14 @@
 """Removal of byte strings that repeat across documents, decided on a column-wise Burrows-Wheeler transform.
 
-Windows of ``MATCH`` bytes are compared through anchors: the positions whose 16-byte hash is least in some window. Equal
-windows have equal anchors, so only the surroundings of anchors need to meet:
+Windows of ``MATCH`` bytes are compared through anchors: a window's anchor is its first position with the least 16-byte hash.
+Equal windows have equal anchors at the same offset, so each window needs to meet others at its own anchor only:
 
 1. Documents are dealt into blocks by doc_id; a block is written once, as compressed Arrow rows, and read from there afterwards.
 2. A block sends each of its anchors once (hash of the anchor and of the two 33-byte strings around it, one of which
-   every window at the anchor contains) to buckets by anchor hash. A bucket marks the anchors of which a 33-byte
-   surrounding lies in more than one document, and those that are hot: with more than HOT surroundings.
-3. Blocks cut the segment of all windows at each marked anchor, and send each distinct segment once with its least doc_id;
+   every window at the anchor contains) to buckets by anchor hash; a string that no window of the anchor contains is left
+   out. A bucket marks which 33-byte surroundings lie in more than one document, and the anchors that are hot: with more
+   than HOT surroundings.
+3. Blocks cut the segment of an anchor's windows around a marked string, and send each distinct segment once with its least doc_id;
    the windows of hot anchors go one by one, each to the bucket of its own hash, so that no anchor is bound to one task.
 4. A bucket builds the transform of its distinct segments; runs of suffixes that share MATCH bytes are equal windows, and
    the least doc_id of a run is the document that keeps the string. Each block gets its windows' verdicts back.
@@ -42,6 +43,8 @@ HALF = WINDOWS // 2
 SIDE = GRAM + HALF
 #: Bytes of text in a block at least and at most, buckets at most, strings in one transform at most (one anchor's stay together).
 BLOCK_BYTES, MOST_BYTES, BUCKETS, COLLECTION = 4_000_000, 64_000_000, 1 << 18, 8192
+#: Bytes of text that are searched for anchors at a time.
+CHUNK_BYTES = 1_000_000
 #: Distinct surroundings, over all blocks, from which an anchor's windows are dealt out one by one.
 HOT = 20_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -71,31 +74,33 @@ def _windows_inside(starts: np.ndarray, size: int) -> np.ndarray:
     return ok[: size - MATCH + 1]
 
 
-def _anchors(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, text, anchor hash, left hash, right hash) of each anchor in texts that lie end to end."""
+def _anchors(buffer: bytes, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(position, text, anchor hash, left hash, right hash, before, after) of each anchor in texts that lie end to end.
+
+    The anchor's windows start from ``before`` bytes ahead of it up to ``after`` bytes ahead; a side's hash is 0 if none of them contains it.
+    """
     size = len(buffer)
-    if size < MATCH:
+    at_windows = np.flatnonzero(_windows_inside(starts, size)) if size >= MATCH else np.zeros(0, np.int64)
+    if not len(at_windows):
         none = np.zeros(0, np.int64)
-        return none, none, *[np.zeros(0, np.uint32)] * 3
+        return none, none, *[np.zeros(0, np.uint32)] * 3, *[np.zeros(0, np.uint8)] * 2
     words = np.ndarray((size + 1,), "<u8", buffer + b"\0" * 8, 0, (1,))
-    gram = (_mix(words[: size - GRAM + 1] * _C[0] ^ words[8 : size - GRAM + 9] * _C[1]) >> _SHIFT).astype(np.uint32)
-    low = _slide(gram, WINDOWS, np.minimum)
-    low[~_windows_inside(starts, size)] = 0
-    edge = np.zeros(WINDOWS - 1, np.uint32)
-    at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), WINDOWS, np.maximum) == gram)
+    gram = _mix(words[: size - GRAM + 1] * _C[0] ^ words[8 : size - GRAM + 9] * _C[1]) >> _SHIFT
+    low = _slide(gram << _SHIFT | np.arange(len(gram), dtype=np.uint64), WINDOWS, np.minimum)
+    place = (low[at_windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # A text's windows keep or raise their anchor's place from one to the next.
+    turn = np.flatnonzero(place[1:] != place[:-1])
+    first, last = at_windows[np.r_[0, turn + 1]], at_windows[np.r_[turn, len(place) - 1]]
+    at = place[np.r_[0, turn + 1]]
     text = np.searchsorted(starts, at, side="right") - 1
-    begin, end = starts[text], starts[text + 1]
-    inside = at + GRAM <= end
-    at, text, begin, end = at[inside], text[inside], begin[inside], end[inside]
 
-    def side(first: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        f = np.where(ok, first, 0)
+    def side(start: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        f = np.where(ok, start, 0)
         h = sum((words[f + k] * c for k, c in zip((0, 8, 16, 24, SIDE - 8), _C, strict=True)), np.zeros(len(f), np.uint64))
         return np.where(ok, (_mix(h) >> _SHIFT).astype(np.uint32) | np.uint32(1), np.uint32(0))
 
-    left = side(at - HALF, at - HALF >= begin)
-    right = side(at, at + SIDE <= end)
-    return at, text, gram[at], left, right
+    left, right = side(at - HALF, first <= at - HALF), side(at, last >= at - HALF)
+    return at, text, gram[at].astype(np.uint32), left, right, (at - first).astype(np.uint8), (at - last).astype(np.uint8)
 
 
 def _pack(part_bytes: int):
@@ -127,24 +132,25 @@ class Block:
         self.texts = pc.fill_null(self.rows.column("text").cast(pa.binary()), b"").to_pylist()
 
     def chunks(self) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """(first document, buffer, starts) of runs of documents of about BLOCK_BYTES together."""
+        """(first document, buffer, starts) of runs of documents of about CHUNK_BYTES together."""
         first, size, n = 0, 0, len(self.texts)
         for i, t in enumerate(self.texts):
             size += len(t)
-            if size >= BLOCK_BYTES or i == n - 1:
+            if size >= CHUNK_BYTES or i == n - 1:
                 part = self.texts[first : i + 1]
                 yield first, b"".join(part), np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
                 first, size = i + 1, 0
 
     def occurrences(self) -> tuple[np.ndarray, ...]:
-        """(document, position in it, anchor, left, right, id of the three) of every anchor."""
+        """(document, position in it, anchor, left, right, id of the three, before, after) of every anchor."""
         parts = []
         for first, buffer, starts in self.chunks():
-            at, text, anchor, left, right = _anchors(buffer, starts)
-            parts.append((text + first, at - starts[text], anchor, left, right))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in (np.int64, np.int64, np.uint32, np.uint32, np.uint32)]
-        a, b, c = (x.astype(np.uint64) for x in cols[2:])
-        return *cols, _mix((a << _SHIFT | b) * _C[0] ^ c * _C[3])
+            at, text, *rest = _anchors(buffer, starts)
+            parts.append((text + first, at - starts[text], *rest))
+        kinds = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8)
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
+        a, b, c = (x.astype(np.uint64) for x in cols[2:5])
+        return *cols[:5], _mix((a << _SHIFT | b) * _C[0] ^ c * _C[3]), *cols[5:]
 
     def distinct(self, occ: tuple[np.ndarray, ...], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(occurrence index, many, bucket, inverse) of the distinct anchors, ordered by bucket and id; many: in two documents here."""
@@ -192,17 +198,19 @@ def _in_two(keys: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def _mark_anchors(hot: int):
+    """For each anchor 1 if its left string lies in two documents, 2 if its right one does, and 4 more if it is hot."""
+
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, np.uint32).reshape(-1, 3) for x in pdf["anchors"]]
         sizes = [len(p) for p in parts]
         key = np.concatenate(parts).astype(np.uint64)
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["many"], sizes, strict=True)])
-        marked = np.zeros(len(key), bool)
+        state = np.zeros(len(key), np.uint8)
         for c in (1, 2):
-            marked |= _in_two(key[:, 0] << _SHIFT | key[:, c], many) & (key[:, c] > 0)
+            state[_in_two(key[:, 0] << _SHIFT | key[:, c], many) & (key[:, c] > 0)] += c
+        marked = state > 0
         _, inverse, counts = np.unique(key[marked, 0], return_inverse=True, return_counts=True)
-        state = marked.astype(np.uint8)
-        state[marked] += (counts > hot)[inverse]
+        state[marked] += (4 * (counts > hot)).astype(np.uint8)[inverse]
         ends = np.cumsum(sizes)
         return pd.DataFrame({"_block": pdf["_block"], "bucket": pdf["bucket"], "n": sizes, "marked": [zstandard.compress(state[e - n : e].tobytes(), 1) for e, n in zip(ends, sizes, strict=True)]})
 
@@ -229,10 +237,13 @@ def _cut_segments(buckets: int):
             state[i:j] = np.frombuffer(zstandard.decompress(data), np.uint8)
         occ_state = state[inverse]
         chosen = np.flatnonzero(occ_state)
+        kind, position, before, after = (x[chosen].astype(np.int64) for x in (occ_state, occ[1], occ[6], occ[7]))
+        # Windows that contain the left string start HALF bytes ahead or sooner, those that contain the right one there or later.
+        begins = position - np.where(kind & 1, before, np.minimum(before, HALF))
+        ends = position - np.where(kind & 2, after, np.maximum(after, HALF)) + MATCH
         cuts: dict[int, list] = {}
-        for d, p, anchor, hot in zip(*(x[chosen].tolist() for x in occ[:3]), (occ_state[chosen] > 1).tolist(), strict=True):
-            text, start = block.texts[d], max(0, p - WINDOWS + 1)
-            segment = text[start : p + MATCH]
+        for d, start, end, anchor, hot in zip(occ[0][chosen].tolist(), begins.tolist(), ends.tolist(), occ[2][chosen].tolist(), (kind > 3).tolist(), strict=True):
+            segment = block.texts[d][start:end]
             if not hot:
                 cuts.setdefault(anchor % buckets, []).append((d, start, anchor, segment))
                 continue

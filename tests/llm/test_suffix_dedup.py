@@ -109,3 +109,27 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, p, 77, 2**53 + 1, "a.b"), (2, "x " + p, 88, None, None)], "doc_id long, text string, _block int, row long, `cut` string")
     out = {r.doc_id: r for r in S.dedup_texts(df).collect()}
     assert (out[1]["_block"], out[1]["row"], out[2]["_block"], out[2]["row"], out[2].text) == (77, 2**53 + 1, 88, None, "x ")
+
+
+def test_each_window_goes_out_at_one_anchor(spark):
+    """Of a shared text every window is cut once a document, of a text that nothing shares none is."""
+    rng = random.Random(11)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(3_000)) for _ in range(2))
+    work = S.RepeatedStrings(spark.createDataFrame([(1, a), (2, a), (3, b)], "doc_id long, text string"))
+    raw = [S.zstandard.decompress(r.data) for r in work.segments.where("kind = 1").collect()]
+    windows = [S.np.frombuffer(x, "<i4").reshape(5, -1)[4].sum() for x in raw]
+    assert sum(windows) == 2 * (3_000 - S.MATCH + 1)
+
+
+def test_half_marked_anchors(spark):
+    """Passages around the least length, at all offsets: of many anchors only one side is shared."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p = text(400)
+    data = [(1, text(100) + p + text(100))]
+    for i in range(60):
+        at = rng.randrange(300)
+        data.append((2 + i, text(rng.randrange(60)) + "#" + p[at : at + 48 + i % 20] + "#" + text(rng.randrange(60))))
+    df = spark.createDataFrame([(d, t, "x", 1, 3) for d, t in data], SCHEMA)
+    want = sorted(brute(data), key=repr)
+    assert rows_of(S.remove_repeats(df)) == want == rows_of(S.remove_repeats(df, block_bytes=900, hot=2))

@@ -14,6 +14,8 @@ from .colors import pairs, rgb
 HSL = """{n}_h AS (SELECT id, r, g, b, greatest(r, g, b) / 255.0::DOUBLE AS hi, least(r, g, b) / 255.0::DOUBLE AS lo, r / 255.0::DOUBLE AS rr, g / 255.0::DOUBLE AS gg, b / 255.0::DOUBLE AS bb FROM {src}),
 {n} AS (SELECT id, r, g, b, 60 * CASE WHEN hi = lo THEN 0 WHEN hi = rr THEN fmod(fmod((gg - bb) / (hi - lo), 6) + 6, 6) WHEN hi = gg THEN (bb - rr) / (hi - lo) + 2 ELSE (rr - gg) / (hi - lo) + 4 END AS hue,
   CASE WHEN hi = lo THEN 0 ELSE (hi - lo) / (1 - abs(hi + lo - 1)) END AS sat, (hi + lo) / 2 AS light FROM {n}_h)"""
+#: The same with six added to negative turns only, as ``rgb_to_hsl`` does: adding it to all costs digits that decide where a channel lies half-way.
+HSL_ONCE = HSL.replace("fmod(fmod((gg - bb) / (hi - lo), 6) + 6, 6)", "(gg - bb) / (hi - lo) + CASE WHEN gg < bb THEN 6 ELSE 0 END")
 BYTE = "greatest(0, least(255, floor({} + 0.5)))::INT"
 FACTOR = 259 * (20 * 2.55 + 255) / (255 * (259 - 20 * 2.55))
 
@@ -24,7 +26,7 @@ def _channel(n: int) -> str:
 
 
 @query(f"""WITH {PAL}, {PC}, w AS (SELECT id, {BYTE.format('r + 1.35 * 12::DOUBLE')} AS r, {BYTE.format('g + 0.28 * 12::DOUBLE')} AS g, {BYTE.format('b - 1.35 * 12::DOUBLE')} AS b FROM pc),
-c AS (SELECT id, {', '.join(BYTE.format(f'{FACTOR}::DOUBLE * ({x} - 128) + 128 + 10 * 2.55::DOUBLE') + ' AS ' + x for x in 'rgb')} FROM w), {HSL.format(n='h', src='c')},
+c AS (SELECT id, {', '.join(BYTE.format(f'{FACTOR}::DOUBLE * ({x} - 128) + 128 + 10 * 2.55::DOUBLE') + ' AS ' + x for x in 'rgb')} FROM w), {HSL_ONCE.format(n='h', src='c')},
 t AS (SELECT id, fmod(hue + 40, 360) AS hue, least(1, sat * 1.25) AS sat, light FROM h), o AS (SELECT id, {_channel(0)} AS r, {_channel(8)} AS g, {_channel(4)} AS b FROM t)
 SELECT p.id, p.r, p.g, p.b, arg_min(q.id, ({redmean('p', 'q')}, q.pos)) AS color FROM o p, pal q GROUP BY 1, 2, 3, 4""")
 def adjust_colors(spark, sf):

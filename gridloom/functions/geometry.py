@@ -55,6 +55,18 @@ def line(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
     return s.withColumns({"x": at(x0, x1), "y": at(y0, y1)}).drop("_n", "_s")
 
 
+def line_cells(ends: DataFrame, key: str, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+    """(key, x, y): the distinct cells of the lines of each key, without a table of all cells: a key's lines are gathered, not their cells."""
+
+    def cells(e: Column) -> Column:
+        n = F.greatest(F.abs(e[x1] - e[x0]), F.abs(e[y1] - e[y0]), F.lit(1))
+        at = lambda a, b, s: half_up(e[a] + (e[b] - e[a]) * s / n).cast("int")
+        return F.transform(F.sequence(F.lit(0), n), lambda s: F.struct(at(x0, x1, s).alias("x"), at(y0, y1, s).alias("y")))
+
+    lines = ends.groupBy(key).agg(F.collect_list(F.struct(x0, y0, x1, y1)).alias("_l"))
+    return lines.select(key, F.explode(F.array_distinct(F.flatten(F.transform("_l", cells)))).alias("_c")).select(key, "_c.x", "_c.y")
+
+
 def box(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
     """Adds all cells x, y of each row's rectangle, corners in any order."""
     span = lambda a, b: F.sequence(F.least(a, b), F.greatest(a, b))

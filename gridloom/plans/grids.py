@@ -113,7 +113,7 @@ def boxes(spark, sf):
 @query(f"""WITH {BOX_SQL}, n AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0), 1) AS n FROM s), p AS (SELECT *, unnest(range(0, n + 1)) AS k FROM n)
 SELECT DISTINCT id, floor(x0 + (x1 - x0) * k / n::DOUBLE + 0.5)::INT AS x, floor(y0 + (y1 - y0) * k / n::DOUBLE + 0.5)::INT AS y FROM p""")
 def shape_line(spark, sf):
-    return G.line(boxes(spark, sf), *CORNERS).select("id", "x", "y").distinct()
+    return G.line_cells(D.spread(boxes(spark, sf), "id"), "id", *CORNERS)
 
 
 @query(f"WITH {IN_BOX} SELECT id, x, y FROM bx WHERE x IN (x0, x1) OR y IN (y0, y1)")

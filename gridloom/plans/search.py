@@ -122,7 +122,7 @@ def skeleton_points(spark, sf):
 @query()
 def shape_outlines(spark, sf):
     kinds = F.array(*map(F.lit, H.SHAPES))
-    rows = boxes(spark, sf).withColumn("kind", F.element_at(kinds, (F.col("id") % len(H.SHAPES) + 1).cast("int")))
+    rows = D.spread(boxes(spark, sf), "id").withColumn("kind", F.element_at(kinds, (F.col("id") % len(H.SHAPES) + 1).cast("int")))
     return rows.select("*", F.explode(H.shape_cells(*[F.col(c) for c in ("kind", *CORNERS)])).alias("c")).select("id", "kind", *CORNERS, "c.x", "c.y")
 
 

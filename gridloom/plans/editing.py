@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
+from ..operators import diagnostics as D
 from ..operators import layers as L
 from ..operators import match as M
 from ..operators import pages as P
@@ -46,7 +47,10 @@ SELECT p_id, q_id FROM v WHERE CASE WHEN cp < 34 AND cq < 34 THEN d <= {pick(48,
 
 @query(f"WITH {BOTH}, {HSL.format(n='h', src='pp')}, {_close_sql(4)}")
 def merge_candidates(spark, sf):
-    return pairs(spark, sf).where(C.close_for_merge(rgb("p_"), rgb("q_"), 4)).select("p_id", "q_id")
+    p, q = (df.select(*[F.col(c).alias(k + c) for c in ("id", "r", "g", "b")]) for k, df in (("p_", D.spread(part_colors(spark, sf), "id")), ("q_", palette(spark))))
+    p, q = C.with_traits(p, "p_"), C.with_traits(q, "q_")
+    traits = [tuple(F.col(k + c) for c in ("hue", "chroma", "luma")) for k in ("p_", "q_")]
+    return p.crossJoin(F.broadcast(q)).where(C.close_for_merge(rgb("p_"), rgb("q_"), 4, *traits)).select("p_id", "q_id")
 
 
 @query(f"WITH {PX} SELECT grid_id, x - 2 AS x, y - 1 AS y, (y - 1) * 5 + x - 2 AS idx, v FROM px WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 5")

@@ -120,3 +120,10 @@ def test_evidence_of_plain_and_mixed_cells(spark):
     assert abs(lone.contrast - 1) < 1e-6 and lone.reliability == 0 and abs(lone.edge - 1) < 1e-9 and lone.dominance == 15 / 16
     clear = df.withColumn("a", F.lit(0))
     assert L.region_evidence(clear, 4, 4, 1, 1).collect() == []
+
+
+def test_repeated_strokes_join_once(spark):
+    """Sizes of bins and matches aren't joined back, and a stroke meets witnesses in at most two cells."""
+    df = spark.createDataFrame([], "image long, stroke long, ok_l double, ok_a double, ok_b double, area long, span long, support double")
+    plan = L.repeated_strokes(df)._jdf.queryExecution().logical().toString()
+    assert plan.count("Join ") == 1 and plan.count("explode(") == 1 and "array(array(" not in plan

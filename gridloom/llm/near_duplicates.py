@@ -20,8 +20,11 @@ SEED, SHINGLE, LEAST = 42, 5, 0.8
 #: Each text is indexed under so many 64-bit fingerprints of its distinct words; a pair must share SHARED of the 8 bytes of one of them.
 #: Changed words spoil five shingles each but only one word: at similarity 0.8 most word fingerprints differ in 1 to 8 bits.
 PRINTS, SHARED = 4, 4
-#: Rounds in which lists are held against their centres end once one brings fewer than this share of the first one's links.
-WORTH, ROUNDS = 0.05, 6
+#: The rounds in which long lists are held against their centres: the kinds of lists each takes. What a round links needn't meet in the next ones,
+#: so the first take few kinds: each row is in one list of a kind.
+STAGES = ((0, 4), (4, 20), (20, 40))
+#: Rounds over all long lists in which the rows that are left meet the nearest one.
+NEAREST = 2
 #: Ranges of a sketch of the shingles. Texts of few distinct words have alike word fingerprints; their shingles tell them apart.
 BINS = 512
 #: Lists up to so many rows are compared side by side, all lists of a task at once; both ways compare all that may be alike.
@@ -229,6 +232,13 @@ class Lists:
         groups, at, sizes = np.unique(self.group[rows], return_inverse=True, return_counts=True)
         return rows[at != np.argmax(sizes)]
 
+    def nearest(self, a: np.ndarray, b: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Of the pairs of different groups the places of those with the fewest differing bits for each value of ``by``; ties to the first."""
+        apart = np.flatnonzero(self.group[a] != self.group[b])
+        by, far = by[apart], np.bitwise_count(self.prints[a[apart]] ^ self.prints[b[apart]]).sum(axis=1)
+        order = np.lexsort((far, by))
+        return apart[order[np.r_[True, by[order][1:] != by[order][:-1]]]] if len(order) else apart
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         """The rows of different groups, as nodes."""
         apart = self.group[a] != self.group[b]
@@ -253,7 +263,10 @@ def open_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def centre_pairs(first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """In each list of more than SHORT rows the rows with those nearest to its majority; after the first round, nearest to that of the rows outside the largest group."""
+    """In each list of more than SHORT rows the rows with those nearest to its majority; after the first round, nearest to that of the rows outside the largest group.
+
+    A row comes with a centre in each of its lists; ``nearest_pairs`` gives fewer.
+    """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = Lists(batches)
@@ -266,6 +279,28 @@ def centre_pairs(first: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return meet
 
 
+def nearest_pairs(hubs: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """In each list of more than SHORT rows pairs that are likely to link groups, at most one for each row or group, each once a task.
+
+    With ``hubs`` the row nearest to the list's majority with that row of each other group that is nearest to it; otherwise each row outside the
+    largest group with the row nearest to it in another group.
+    """
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, left, right = Lists(batches), [], []
+        for own in rows.each(SHORT + 1):
+            outside = rows.others(own)
+            if len(outside):
+                for a, b in rows.blocks(rows.centres(own)[:1] if hubs else outside, own):
+                    at = rows.nearest(a, b, rows.group[b] if hubs else a)
+                    left.append(a[at])
+                    right.append(b[at])
+        if left:
+            yield rows.pairs(np.concatenate(left), np.concatenate(right))
+
+    return meet
+
+
 def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """In each list all plausible pairs of rows of different groups."""
     rows = Lists(batches)
@@ -307,9 +342,10 @@ def _sets(df: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of different nodes with similarity LEAST or more, enough of them to connect what the index brings together.
 
-    Lists are cut down to rows with a plausible partner. In rounds, the rows of each list are held against the list's centres, then against
-    those of the rows outside its largest group; what is linked is one group, whose rows needn't meet again, as a further link
-    between them would join nothing. Last, all plausible pairs of different groups are verified, so no pair is left out.
+    Lists are cut down to rows with a plausible partner. In rounds over ever more kinds of lists, one centre of each long list is held against a row of
+    each other group there, then each row that is still outside a list's largest group against the row nearest to it; what is
+    linked is one group, whose rows needn't meet again, as a further link between them would join nothing. Last, all plausible pairs of
+    different groups are verified, so no pair is left out.
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PRINTS * len(position_keys(SHARED)) // 250_000))
@@ -318,22 +354,22 @@ def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFram
     ends = scratch.table(open_.select("node").distinct().join(nodes, "node"), "ends")
     sets = scratch.table(_sets(df, ends.select("node", "doc_id")), "sets")
     prints = [F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)]
-    groups, found, first = ends.withColumn("group", F.col("node")), None, None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS or first is not None and len_links < WORTH * first
-        rows = open_.join(groups.select("node", *prints, "n", "far", "group"), "node").select(*[f"`{c}`" for c in _ROW])
+    groups, found = ends.withColumn("group", F.col("node")), None
+    long = open_.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SHORT).select("key")
+    long = scratch.table(open_.join(long, "key", "left_semi"), "long-lists")
+    rounds = [] if long.isEmpty() else [(nearest_pairs(True), *kinds) for kinds in STAGES] + [(nearest_pairs(False), 0, PRINTS * len(position_keys(SHARED)))] * NEAREST
+    for meet, start, end in [*rounds, (other_pairs, None, None)]:
+        last = start is None
+        rows = (open_ if last else long.where(F.col("list").between(start, end - 1))).join(groups.select("node", *prints, "n", "far", "group"), "node").select(*[f"`{c}`" for c in _ROW])
         if last:  # fewer lists, and rows with their sketches
             apart = rows.groupBy("key").agg((F.min("group") != F.max("group")).alias("apart")).where("apart").select("key")
             rows = rows.join(apart, "key", "left_semi").join(sets.select("node", "sketch"), "node")
-        pairs = rows.repartition("key").mapInPandas(lean(other_pairs if last else centre_pairs(turn == 0)), "a long, b long").distinct()
+        pairs = rows.repartition("key").mapInPandas(lean(meet), "a long, b long").distinct()
         new = scratch.table(verified(scratch.table(pairs, "pairs"), sets), "links")
-        len_links = new.count()
-        first = len_links if first is None else first
         found = new if found is None else scratch.table(found.unionByName(new), "found")
-        if last:
-            return found
-        comp = scratch.table(joined(found, scratch), "joined")
-        groups = scratch.table(ends.join(comp, "node", "left").select(ends["*"], F.coalesce("component", "node").alias("group")), "groups")
+        if not last:
+            comp = scratch.table(joined(found, scratch), "joined")
+            groups = scratch.table(ends.join(comp, "node", "left").select(ends["*"], F.coalesce("component", "node").alias("group")), "groups")
     return found
 
 

@@ -198,3 +198,29 @@ def test_a_pair_is_judged_in_one_list(monkeypatch):
     assert not found.duplicated().any()
     near = lambda a, b: sum((fps[a] ^ fps[b]) >> 8 * p & 255 == 0 for p in range(8)) >= N.SHARED and N.PRINTS * (fps[a] ^ fps[b]).bit_count() <= 64
     assert set(zip(found["a"], found["b"])) == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if near(a, b)}
+
+
+def test_long_lists_give_few_pairs():
+    """A text's edited copies share many lists; each copy comes with few others, not with a centre of each list."""
+    rng = random.Random(21)
+    base = [word(rng) for _ in range(150)]
+    texts = {" ".join(edited(rng, base, rng.choice([1, 2, 3]))) for _ in range(500)}
+    prints = np.array([N.word_prints(t) for t in texts])
+    kinds = len(N.position_keys(N.SHARED))
+    nodes = pd.DataFrame({"node": range(len(texts)), "n": 146, "far": N.bit_limit(146, 150), "group": range(len(texts))} | {f"p{k}": prints[:, k].view(np.int64) for k in range(N.PRINTS)})
+    rows = pd.concat([nodes.assign(key=N.list_keys(prints[:, k], N.SHARED, k)[:, i].view(np.int64), list=k * kinds + i) for k in range(N.PRINTS) for i in range(kinds)])
+    count = lambda how, part: sum(map(len, how(iter([part]))))
+    assert count(N.centre_pairs(True), rows) > 40 * len(texts)
+    assert count(N.nearest_pairs(True), rows[rows["list"] < N.STAGES[0][1]]) < 4 * len(texts)
+    half = rows.assign(group=rows["group"].where(rows["group"] % 10 == 0, -1))  # nine of ten are linked
+    assert count(N.nearest_pairs(True), half) < 10 * len(texts) and count(N.nearest_pairs(False), half) < 2 * len(texts)
+
+
+def test_nearest_partners(monkeypatch):
+    monkeypatch.setattr(N, "SHORT", 2)
+    star = lists([0, *[1] * 5, *range(6, 12)], [0, *(1 << k for k in range(11))])
+    got = pairs(N.nearest_pairs(True), star)
+    assert {a for a, _ in got} == {0} and len(got) == 7 and len({b for _, b in got} & {*range(1, 6)}) == 1
+    row = lists([0, 0, 0, 0, 1], [0b111, 0b1, 0b11, 0b1111, 0])
+    assert pairs(N.nearest_pairs(False), row) == {(1, 4)}
+    assert pairs(N.nearest_pairs(True), lists([4] * 12, [0] * 12)) == pairs(N.nearest_pairs(False)) == set()

@@ -126,11 +126,11 @@ def node_column(text: Column) -> Column:
 
 
 _ROW = ["key", "list", "node", *(f"p{k}" for k in range(PRINTS)), "n", "far", "group"]
-_TYPES = "key long, list int, node long, " + ", ".join(f"p{k} long" for k in range(PRINTS)) + ", n long, far int, `group` long"
+_TYPES = "key long, list int, node long, " + ", ".join(f"p{k} long" for k in range(PRINTS)) + ", n long, far int"
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """The inverted index of all fingerprints by sets of byte positions; a posting names the list's kind and carries what pairs are judged by."""
+    """The inverted index of all fingerprints by sets of byte positions; a posting names the list's kind and carries what pairs are judged by, but no group yet."""
     lists = len(position_keys(SHARED))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,10 +140,10 @@ def postings(nodes: DataFrame) -> DataFrame:
                 for k in range(PRINTS):
                     keys = list_keys(part[f"p{k}"].to_numpy(np.int64).view(np.uint64), SHARED, k)
                     out = part.loc[part.index.repeat(lists)].reset_index(drop=True)
-                    yield out.assign(key=keys.reshape(-1).view(np.int64), list=np.tile(np.arange(k * lists, (k + 1) * lists), len(part)))[_ROW]
+                    yield out.assign(key=keys.reshape(-1).view(np.int64), list=np.tile(np.arange(k * lists, (k + 1) * lists), len(part)))[_ROW[:-1]]
 
     rows = nodes.where(F.size("prints") == PRINTS)
-    return rows.select("node", *[F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)], "n", "far", "group").mapInPandas(lean(index), _TYPES)
+    return rows.select("node", *[F.col("prints")[k].alias(f"p{k}") for k in range(PRINTS)], "n", "far").mapInPandas(lean(index), _TYPES)
 
 
 class Lists:
@@ -154,7 +154,8 @@ class Lists:
         rows = pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in _ROW})
         order = np.lexsort((rows["node"].to_numpy(), rows["key"].to_numpy()))
         column = lambda c: rows[c].to_numpy(np.int64)[order]
-        self.key, self.list, self.node, self.n, self.far, self.group = map(column, ("key", "list", "node", "n", "far", "group"))
+        self.key, self.list, self.node, self.n, self.far = map(column, ("key", "list", "node", "n", "far"))
+        self.group = column("group") if "group" in rows else self.node
         self.sketch = np.frombuffer(b"".join(rows["sketch"].iloc[order]), np.uint8).reshape(-1, BINS) if "sketch" in rows else None
         self.prints = np.stack([column(f"p{k}").view(np.uint64) for k in range(PRINTS)], axis=1)
 
@@ -349,7 +350,7 @@ def similar_links(df: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFram
     """
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * PRINTS * len(position_keys(SHARED)) // 250_000))
-    open_ = postings(nodes.withColumn("group", F.col("node"))).repartition(tasks, "key").mapInPandas(lean(open_postings), "key long, list int, node long")
+    open_ = postings(nodes).repartition(tasks, "key").mapInPandas(lean(open_postings), "key long, list int, node long")
     open_ = scratch.table(open_, "lists")
     ends = scratch.table(open_.select("node").distinct().join(nodes, "node"), "ends")
     sets = scratch.table(_sets(df, ends.select("node", "doc_id")), "sets")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
 from . import sampling as S
+from .diagnostics import spread
 from .local import region_evidence
 from .rounds import settled
 
@@ -30,7 +31,7 @@ def image_keys(pixels: DataFrame) -> DataFrame:
     """(grid_id, key): the SHA-256 of an image's rows' SHA-256s, so that no task holds more than one row of pixels and one column of hashes."""
     channels = [F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgba"]
     places = F.sort_array(F.collect_list(F.struct("x", F.concat(*[F.coalesce(c, F.lit("--")) for c in channels]).alias("p"))))
-    rows = pixels.groupBy("grid_id", "y").agg(F.sha2(F.array_join(F.transform(places, lambda p: F.concat_ws(":", p["x"], p["p"])), ","), 256).alias("h"))
+    rows = spread(pixels.select("grid_id", "x", "y", *"rgba")).groupBy("grid_id", "y").agg(F.sha2(F.array_join(F.transform(places, lambda p: F.concat_ws(":", p["x"], p["p"])), ","), 256).alias("h"))
     lines = F.sort_array(F.collect_list(F.struct("y", "h")))
     return rows.groupBy("grid_id").agg(F.sha2(F.array_join(F.transform(lines, lambda r: F.concat_ws(":", r["y"], r["h"])), ","), 256).alias("key"))
 
@@ -63,8 +64,9 @@ def stored(asked: DataFrame, folder: str, settings: Column, w: int, h: int) -> D
         table = spark.createDataFrame([], SCHEMA)
     rows = table.where((F.col("settings") == settings) & F.col("part").isin(parts)).join(asked, ["part", "key"], "left_semi")
     rows = rows.where(sound(w, h)).dropDuplicates(["part", "key", "cx", "cy"])
-    whole = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.min("cells").alias("least"), F.max("cells").alias("most")).where("n = least AND n = most")
-    return rows.join(whole.select("part", "key"), ["part", "key"], "left_semi")
+    image = Window.partitionBy("part", "key")
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(image), "_least": F.min("cells").over(image), "_most": F.max("cells").over(image)})
+    return rows.where("_n = _least AND _n = _most").drop("_n", "_least", "_most")
 
 
 def cached_evidence(pixels: DataFrame, folder: str, width: int, height: int, w: int, h: int, digits: int = 1) -> DataFrame:
@@ -83,15 +85,24 @@ def cached_evidence(pixels: DataFrame, folder: str, width: int, height: int, w:
     held = stored(asked, folder, settings, w, h).select("part", "key").distinct()
     missing = settled(keys.join(held, ["part", "key"], "left_anti").groupBy("part", "key").agg(F.min("grid_id").alias("grid_id")))
     if not missing.isEmpty():
-        fresh = region_evidence(pixels.join(missing.select("grid_id"), "grid_id", "left_semi"), width, height, w, h)
+        fresh = region_evidence(_of(pixels, missing.select("grid_id")), width, height, w, h)
         add_evidence(fresh, missing, folder, settings)
     return keys.join(stored(asked, folder, settings, w, h), ["part", "key"]).select("grid_id", "cx", "cy", *VALUES)
 
 
+def _of(pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """The pixels of images (grid_id, each once, more columns may follow), dealt by image before the join.
+
+    Spark leaves out a repartition that follows a join by the same key, and would then merge the tasks by their few bytes or, where the
+    pixels are broadcast, work on all images in the few tasks that hold ``images``.
+    """
+    return spread(pixels.select("grid_id", "x", "y", *"rgba")).hint("merge").join(images, "grid_id")
+
+
 def add_evidence(evidence: DataFrame, keys: DataFrame, folder: str, settings: Column) -> None:
     """Appends the evidence of images (grid_id, key, part) to the table in ``folder``."""
-    rows = settled(evidence.join(keys.select("grid_id", "key", "part"), "grid_id").withColumns({"cx": F.col("cx").cast("int"), "cy": F.col("cy").cast("int")}))
-    rows = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("cells")), "key").withColumn("settings", settings)
+    rows = evidence.join(keys.select("grid_id", "key", "part"), "grid_id").withColumns({"cx": F.col("cx").cast("int"), "cy": F.col("cy").cast("int")})
+    rows = rows.withColumn("cells", F.count(F.lit(1)).over(Window.partitionBy("grid_id"))).withColumn("settings", settings)
     rows = rows.withColumn("check", _check()).select("key", "cx", "cy", *VALUES, "cells", "check", "settings", "part")
     rows.repartition("part").write.partitionBy("settings", "part").mode("append").parquet(folder)
 
@@ -116,7 +127,7 @@ def evidence_again(evidence: DataFrame, pixels: DataFrame, boxes: DataFrame, wid
     first = lambda c, d: F.floor((F.col(c) - d) / scale) - 1
     last = lambda c, d: F.ceil((F.col(c) - d) / scale)
     area = cells.select("grid_id", "c0", "c1", "d0", "d1", first("c0", dx).alias("x0"), last("c1", dx).alias("x1"), first("d0", dy).alias("y0"), last("d1", dy).alias("y1"))
-    part = pixels.select("grid_id", "idx", "x", "y", *"rgba").join(area.select("grid_id", "x0", "x1", "y0", "y1"), "grid_id")
+    part = _of(pixels, area.select("grid_id", "x0", "x1", "y0", "y1"))
     part = part.where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").drop("x0", "x1", "y0", "y1")
     names = ["grid_id", "cx", "cy", *VALUES]
     own = area.select("grid_id", "c0", "c1", "d0", "d1")

@@ -106,3 +106,24 @@ def test_changed_region(spark, computed):
     got = cache.evidence_again(region_evidence(a, *SIZE), b, boxes, *SIZE)
     assert values(got) == values(region_evidence(b, *SIZE))
     assert computed == [{*range(3, 40)}]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_evidence_deals_pixels_twice(spark):
+    df = spark.createDataFrame(images(3), SCHEMA)
+    assert exchanges(region_evidence(df, *SIZE)) == 2
+
+
+def test_small_boxes_dont_merge_the_work(spark):
+    """Pixels are neither broadcast nor worked on in the one task that holds the few boxes."""
+    df = spark.createDataFrame(images(8), SCHEMA)
+    boxes = spark.createDataFrame([(g, 1, 1, 2, 2) for g in range(8)], "grid_id long, l int, t int, r int, b int").coalesce(1)
+    none = region_evidence(df, *SIZE).where("false")
+    out = cache.evidence_again(none, df, boxes, *SIZE)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan.split("MapInArrow")[1]
+    assert values(out) == [v for v in values(region_evidence(df, *SIZE)) if v[1] <= 1 and v[2] <= 1]

@@ -147,13 +147,24 @@ def frequent_hashes(df: DataFrame, words: Broadcast, shorter: list[Broadcast], l
     return df.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
+def _summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """(lang, phrase, n) with one row for equal phrases of a language."""
+    if not parts:
+        return []
+    out = pa.Table.from_batches(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    return out.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).combine_chunks().to_batches()
+
+
 def windows(df: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcast, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, n): from each place on the words that follow, up to ``longest`` and while they may be frequent pairs and triples.
 
-    Equal windows are one row with their number. Every frequent phrase begins as many windows as it occurs.
+    Equal windows of a task are one row with their number (of what it holds, where it holds more than HELD). A task reads as many texts as
+    there are for two tasks a core: a frequent phrase is a row of nearly each task, so more tasks would mean more rows. Every frequent
+    phrase begins as many windows as it occurs; a word begins at most one.
     """
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in words_by_lang(batches):
             c = Coded(lang, found, words.value)
             at = c.keep(pairs.value)
@@ -174,7 +185,18 @@ def windows(df: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcas
             phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n)], names=["lang", "phrase", "n"])
 
-    return df.mapInArrow(cut, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for part in found_in(batches):
+            parts.append(part)
+            if sum(map(len, parts)) > 4 * HELD:
+                parts = _summed(parts)
+                if sum(map(len, parts)) > 2 * HELD:
+                    yield from parts
+                    parts = []
+        yield from _summed(parts)
+
+    return df.coalesce(tasks).mapInArrow(cut, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def grown(prefix: list[str], pointers: list[int], words: list[list[str]], n: list[int], least: int, longest: int) -> Iterator[tuple[str, int]]:

@@ -4,8 +4,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import collocations as C
@@ -90,3 +93,25 @@ def test_filters_of_one_word_only_spare_work(spark, monkeypatch):
     rows = corpus(1, 120)
     df = spark.createDataFrame(rows, "text string, lang string")
     assert sorted(map(tuple, C.collocations(df, 4, 5, 500).collect())) == plainly(rows, 4, 5, 500)
+
+
+def test_a_task_sums_its_windows(spark, monkeypatch):
+    """One row for equal windows of a task, not of a block of its texts; where it can't hold them all, the sums stay right."""
+    monkeypatch.setattr(C, "BLOCK", 200)
+    rows = [("in order to do it", "en")] * 300 + [("a b", "fr")] * 300
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    ones = spark.sparkContext.broadcast(~np.zeros(1, np.uint64))
+    out = C.windows(df, ones, ones, ones)
+    want = {("en", p): 300 for p in ("in order to do it", "order to do it", "to do it", "do it")} | {("fr", "a b"): 300}
+    assert {(r.lang, r.phrase): r.n for r in out.collect()} == want
+    made = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema: made.append(f) or self)
+    C.windows(df.withColumns({"phrase": F.col("text"), "n": F.lit(1)}), ones, ones, ones)
+    batch = pa.RecordBatch.from_pydict({"lang": [g for _, g in rows], "text": [t for t, _ in rows]})
+    assert sum(map(len, made[0](iter([batch, batch])))) == 5
+    monkeypatch.setattr(C, "HELD", 1)
+    parts = [*made[0](iter([batch, batch]))]
+    total = Counter()
+    for r in pa.Table.from_batches(parts).to_pylist():
+        total[r["lang"], r["phrase"]] += r["n"]
+    assert total == {k: 600 for k in want}

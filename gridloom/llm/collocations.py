@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -14,11 +16,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, batches_of, give_back, lean
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bytes of text whose words share a dictionary, and how many sums a task holds before it passes them on.
-BLOCK, HELD = 8 << 20, 300_000
+#: Bytes of text that a task gets at once and whose words share a dictionary, how many sums it holds before it passes them on, and how many
+#: go out in a batch.
+BLOCK, HELD, SENT = 4 << 20, 300_000, 100_000
 #: Bits of the filters that tell tasks which words, pairs and triples may be frequent. Their size is fixed: they only spare work, since
 #: whatever passes is counted exactly.
 FILTER_BITS = 26
@@ -31,21 +34,25 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_CLEAN).replace(_BORDER, b" \xff ").split()
 
 
-def words_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, words) of about BLOCK bytes of text each, pieces parted by borders. A null lang is ``und``."""
+def texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """(lang, texts) of about BLOCK bytes each, without empty ones. A null lang is ``und``."""
     for b in batches:
         step = max(1, len(b) * BLOCK // max(1, b.nbytes))
         for at in range(0, len(b), step):
-            by: dict[str, list[bytes]] = {}
+            by: dict[str, list[str]] = {}
             part = b.slice(at, step)
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 if text:
-                    found = by.setdefault("und" if lang is None else lang, [])
-                    found += split(text)
-                    found.append(_BORDER)
+                    by.setdefault("und" if lang is None else lang, []).append(text)
             yield from by.items()
 
 
+def sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces, as the JVM holds one whole."""
+    for at in range(0, len(batch), SENT):
+        yield batch.slice(at, SENT)
+
+
 def word_counts(df: DataFrame) -> DataFrame:
     """(lang, phrase, n) of every word."""
 
@@ -54,18 +61,19 @@ def word_counts(df: DataFrame) -> DataFrame:
         words = pa.array([w for c in counts.values() for w in c], pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), words, pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["lang", "phrase", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        for lang, words in words_by_lang(batches):
+        for lang, texts in texts_by_lang(batches):
             c = counts.setdefault(lang, Counter())
-            c.update(words)
+            for text in texts:
+                c.update(split(text))
             del c[_BORDER]
             if sum(map(len, counts.values())) > HELD:
-                yield rows(counts)
+                yield from sent(rows(counts))
                 counts = {}
-        yield rows(counts)
+        yield from sent(rows(counts))
 
-    return df.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(lean(counted), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def word_hash(lang: str) -> Callable[[bytes], int]:
@@ -90,11 +98,18 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class Coded:
-    """Words as ids of a dictionary (id 0 is the border), and the places and hashes of pairs whose words may both be frequent."""
+    """Words as ids of a dictionary (id 0 is the border), and the places and hashes of pairs whose words may both be frequent.
+
+    Words become ids text by text: as objects those of all texts would take ten times their bytes.
+    """
 
-    def __init__(self, lang: str, words: list[bytes], frequent: np.ndarray):
-        known = {_BORDER: 0}
-        self.ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    def __init__(self, lang: str, texts: list[str], frequent: np.ndarray):
+        known: dict[bytes, int] = defaultdict(count().__next__)
+        ids = array("q", [known[_BORDER]])
+        for text in texts:
+            ids.extend(map(known.__getitem__, split(text)))
+            ids.append(0)
+        self.ids = np.frombuffer(ids, np.int64)
         self.words = list(known)
         hashes = np.fromiter(map(word_hash(lang), self.words), np.uint64, len(self.words))
         able = passes(frequent, hashes)
@@ -128,30 +143,30 @@ def frequent_hashes(df: DataFrame, words: Broadcast, shorter: list[Broadcast], l
         h, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
         return h, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         rows = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], names=["h", "n"])
-        for lang, found in words_by_lang(batches):
-            c = Coded(lang, found, words.value)
+        for lang, texts in texts_by_lang(batches):
+            c = Coded(lang, texts, words.value)
             for bits in shorter:
                 c.keep(bits.value)
             parts.append(np.unique(c.h, return_counts=True))
             if sum(len(h) for h, _ in parts) > 4 * HELD:
                 parts = [summed(parts)]
                 if len(parts[0][0]) > 2 * HELD:
-                    yield rows(parts[0])
+                    yield from sent(rows(parts[0]))
                     parts = []
         if parts:
-            yield rows(summed(parts))
+            yield from sent(rows(summed(parts)))
 
-    return df.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    return df.mapInArrow(lean(counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
 
 
 def _summed(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     """(lang, phrase, n) with one row for equal phrases of a language."""
     if not parts:
         return []
-    out = pa.Table.from_batches(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+    out = pa.Table.from_batches(parts).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
     return out.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).combine_chunks().to_batches()
 
 
@@ -165,12 +180,12 @@ def windows(df: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcas
     tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, found in words_by_lang(batches):
-            c = Coded(lang, found, words.value)
+        for lang, texts in texts_by_lang(batches):
+            c = Coded(lang, texts, words.value)
             at = c.keep(pairs.value)
             if not len(at):
                 continue
-            linked = np.zeros(len(found) + longest, bool)
+            linked = np.zeros(len(c.ids) + longest, bool)
             linked[c.keep(triples.value)] = True
             ids = np.concatenate([c.ids, np.zeros(longest, np.int64)])
             columns, open_ = [ids[at], ids[at + 1]], np.ones(len(at), bool)
@@ -189,14 +204,17 @@ def windows(df: DataFrame, words: Broadcast, pairs: Broadcast, triples: Broadcas
         parts: list[pa.RecordBatch] = []
         for part in found_in(batches):
             parts.append(part)
-            if sum(map(len, parts)) > 4 * HELD:
+            if sum(map(len, parts)) > 3 * HELD:
                 parts = _summed(parts)
+                give_back()
                 if sum(map(len, parts)) > 2 * HELD:
-                    yield from parts
+                    for x in parts:
+                        yield from sent(x)
                     parts = []
-        yield from _summed(parts)
+        for x in _summed(parts):
+            yield from sent(x)
 
-    return df.coalesce(tasks).mapInArrow(cut, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return df.coalesce(tasks).mapInArrow(lean(cut), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def grown(prefix: list[str], pointers: list[int], words: list[list[str]], n: list[int], least: int, longest: int) -> Iterator[tuple[str, int]]:
@@ -269,7 +287,7 @@ def phrase_counts(found: DataFrame, scratch: Scratch, least: int = LEAST, longes
         yield flush([*group(key, words, n)] if key else [])
 
     keyed = rows.withColumn("depth", depth).where("length >= depth").select("lang", F.expr("substring_index(phrase, ' ', depth)").alias("head"), "phrase", "n")
-    mined = keyed.repartition("lang", "head").sortWithinPartitions("lang", "head").mapInArrow(mine, "lang string, phrase string, n long")
+    mined = keyed.repartition("lang", "head").sortWithinPartitions("lang", "head").mapInArrow(lean(mine), "lang string, phrase string, n long")
     for more in done:
         mined = mined.unionByName(more)
     return mined
@@ -302,15 +320,16 @@ def collocations(df: DataFrame, least: int = LEAST, longest: int = LONGEST, top:
     spark = df.sparkSession
     scratch = Scratch(spark, "collocations")
     docs = df.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = scratch.table(word_counts(docs), "words")
-    totals = scratch.table(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = counted.where(F.col("n") >= least)
-    able = spark.sparkContext.broadcast(bit_filter(words.select(F.xxhash64("lang", "phrase").alias("h"))))
-    shorter = []
-    for _ in range(2):
-        shorter.append(spark.sparkContext.broadcast(bit_filter(frequent_hashes(docs, able, shorter, least))))
-    found = scratch.table(windows(docs, able, *shorter, longest), "windows")
-    phrases = scratch.table(phrase_counts(found, scratch, least, longest), "phrases")
+    with batches_of(spark, BLOCK):
+        counted = scratch.table(word_counts(docs), "words")
+        totals = scratch.table(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        words = counted.where(F.col("n") >= least)
+        able = spark.sparkContext.broadcast(bit_filter(words.select(F.xxhash64("lang", "phrase").alias("h"))))
+        shorter = []
+        for _ in range(2):
+            shorter.append(spark.sparkContext.broadcast(bit_filter(frequent_hashes(docs, able, shorter, least))))
+        found = scratch.table(windows(docs, able, *shorter, longest), "windows")
+        phrases = scratch.table(phrase_counts(found, scratch, least, longest), "phrases")
     w = F.split("phrase", " ")
     ends = F.explode(F.array(F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " "), F.array_join(F.slice(w, F.lit(2), F.size(w) - 1), " ")))
     inside = phrases.where(F.size(w) > 2).select("lang", ends.alias("phrase"), F.col("n").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))

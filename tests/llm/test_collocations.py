@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import collocations as C
+from gridloom.llm.common import batches_of
 
 
 def plainly(rows, least, longest, top):
@@ -115,3 +117,40 @@ def test_a_task_sums_its_windows(spark, monkeypatch):
     for r in pa.Table.from_batches(parts).to_pylist():
         total[r["lang"], r["phrase"]] += r["n"]
     assert total == {k: 600 for k in want}
+
+
+def test_collocations_asks_for_small_batches(spark, monkeypatch):
+    """Its Python steps get batches of BLOCK bytes, not of 64 MB; afterwards the session's setting is as it was, also after a failure."""
+    key, steps = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, real = spark.conf.get(key), DataFrame.mapInArrow
+    monkeypatch.setattr(C, "BLOCK", 1 << 16)
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema: steps.append(spark.conf.get(key)) or real(self, f, schema))
+    df = spark.createDataFrame([("in order to do it", "en")] * 120, "text string, lang string")
+    assert [r.phrase for r in C.collocations(df).collect()] == ["in order to do it"]
+    assert len(steps) == 5 and set(steps) <= {"65536", "65536b"} and spark.conf.get(key) == before
+    text = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("abc "), 100).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    with pytest.raises(ZeroDivisionError), batches_of(spark, 1 << 16):
+        assert 20 < real(text, sizes, "n long").count() and real(text, sizes, "n long").agg(F.max("n")).first()[0] < 1 << 17
+        1 / 0
+    assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("step", ["words", "pairs", "windows"])
+def test_words_of_all_texts_are_never_held_as_objects(spark, monkeypatch, step):
+    """A block of texts takes a few times its bytes in a task, not sixteen times; sums go out in small batches."""
+    made = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema: made.append(f) or self)
+    monkeypatch.setattr(C, "SENT", 2, raising=False)
+    none = spark.sparkContext.broadcast(np.zeros(1, np.uint64))
+    df = spark.createDataFrame([], "lang string, text string, phrase string, n long, h long")
+    {"words": lambda: C.word_counts(df), "pairs": lambda: C.frequent_hashes(df, none, [none], 1), "windows": lambda: C.windows(df, none, none, none)}[step]()
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 2000, "text": [" ".join(f"a{(i * 7 + k) % 90}" for k in range(300)) for i in range(2000)]})
+    tracemalloc.start()
+    try:
+        out = [*made[0](iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * batch.nbytes
+    assert max(map(len, out), default=0) <= 2 and (step != "words" or sum(sum(x.column("n").to_pylist()) for x in out) == 600_000)
